@@ -84,4 +84,4 @@ def inner_grams(buf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         if 0 < k < size - 1:
             bad |= gap[k : k + n]
     at = np.flatnonzero(~bad)
-    return at, mix(value[at] + np.uint64(size) * _P)
+    return at, mix(value[at] * _P + np.uint64(size))
