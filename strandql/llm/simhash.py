@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from strandql.llm import common
 
-#: Points from which the tree over all shards is built; they reach the driver, whatever the input's size.
-SAMPLE_POINTS = 16_384
-#: Points that a shard should hold.
-SHARD_POINTS = 8_192
+#: Points from which the tree over all shards is built: so many a shard, within these bounds. They reach the driver.
+SHARD_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 64, 16_384, 4_000_000
+#: Points that a shard holds at most, about, and shards at least. The points that query both sides of a node grow with
+#: the depth of the tree, so shards are as large as one task searches well.
+SHARD_POINTS, LEAST_SHARDS = 262_144, 12
 #: A block of so many points is compared pair by pair.
 BLOCK_POINTS = 768
 
@@ -163,14 +164,16 @@ def shard_forest(points: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]
     return points[moved], points[roots[moved]]
 
 
-def links(points: DataFrame, near: int = 3, sample_points: int = SAMPLE_POINTS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """u, v (u > v as unsigned): a spanning forest, shard by shard, of all links between the distinct values of fp."""
+def links(points: DataFrame, near: int = 3, shard_points: int = SHARD_POINTS, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """u, v: a spanning forest, shard by shard, of all links between the distinct values of fp."""
     spark = points.sparkSession
     total = points.count()
-    # A fixed number of points, chosen by hash, so that the tree is the same in every run.
+    shard_points = min(shard_points, total / least_shards)
+    sample_points = int(min(MOST_SAMPLE, max(LEAST_SAMPLE, SHARD_SAMPLE * total / max(shard_points, 1))))
+    # Chosen by hash, so that the tree is the same in every run.
     sample = np.array([r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect()], np.int64).view(np.uint64)
-    nodes = build_tree(sample, shard_points * min(1.0, len(sample) / max(total, 1)), near)
-    shared = spark.sparkContext.broadcast(nodes)  # fewer nodes than sample points can make
+    nodes = build_tree(sample, max(BLOCK_POINTS / 8, shard_points * min(1.0, len(sample) / max(total, 1))), near)
+    shared = spark.sparkContext.broadcast(nodes)  # bounded by the sample
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
