@@ -1,7 +1,9 @@
-"""Toxicity by non-negative positive-unlabelled learning over hashed words.
+"""Toxicity by non-negative positive-unlabelled learning over hashed words and word beginnings.
 
-Confirmed toxic rows of the training folds are the positives; any text of those folds is unlabelled. Linear
-classifiers over the presence of words minimise prior * R+(g, 1) + max(0, R_u(g, 0) - prior * R+(g, 0)), stepping
+Confirmed toxic rows of the training folds are the positives; any text of those folds is unlabelled. Features are a
+text's distinct words and their first bytes (PREFIXES), as inflected words share a stem; those whose share of positive
+texts differs from their share of unlabelled ones by LEAST_Z standard errors enter the model. Linear classifiers over
+their presence minimise prior * R+(g, 1) + max(0, R_u(g, 0) - prior * R+(g, 0)), stepping
 back where the bracket is negative, and their scores are averaged. The prior is the toxic share of all labelled
 training rows. Training is numpy on the driver over bounded numbers of rows (POSITIVES, UNLABELLED) and bytes
 (TRAIN_BYTES) of whole texts; every whole text is scored in one pass without a shuffle. Words are identified by a
@@ -25,16 +27,23 @@ from strandql.llm import bytefeat, common
 
 POSITIVES, UNLABELLED = 3000, 9000
 TRAIN_BYTES = 128 << 20
-#: Words in so many training texts at least get a weight; the most frequent MODEL_WORDS of them.
-LEAST_TEXTS, MODEL_WORDS = 4, 60_000
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Features of the model: in so many training texts at least, so many standard errors apart, so many at most.
+LEAST_TEXTS, LEAST_Z, MODEL_WORDS = 4, 5.0, 20_000
 CLASSIFIERS, STEPS, BATCHES = 3, 60, 6
 
 
 def word_sets(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, one past the last, hash of every word, number of its text counted from the first)."""
+    """(first text, one past the last, hash of every feature, number of its text counted from the first)."""
     for at, to, buf, offsets in bytefeat.chunks([t.lower() if t else b"" for t in texts]):
         starts, ends = bytefeat.spans(buf, True)
-        yield at, to, bytefeat.span_hashes(buf, starts, ends), np.searchsorted(offsets, starts, "right") - 1
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        hashes, owners = [bytefeat.span_hashes(buf, starts, ends)], [owner]
+        for size in PREFIXES:
+            long = np.flatnonzero(ends - starts >= size)
+            hashes.append(bytefeat.mix(bytefeat.span_hashes(buf, starts[long], starts[long] + size) + np.uint64(size)))
+            owners.append(owner[long])
+        yield at, to, np.concatenate(hashes), np.concatenate(owners)
 
 
 def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +72,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, seed: int, *, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, seed: int, *, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of one classifier: Adam on the non-negative risk with the logistic loss."""
     rng = np.random.default_rng(seed)
     w = np.zeros(size + 1)
@@ -95,9 +104,15 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
 
 def train(rows: list[tuple[bool, np.ndarray]], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted word hashes, weights by word and classifier, biases)."""
-    words, texts = np.unique(np.concatenate([w for _, w in rows]), return_counts=True)
-    kept = np.flatnonzero(texts >= min(LEAST_TEXTS, max(1, len(rows) // 10)))
-    kept = np.sort(kept[np.argsort(-texts[kept], kind="stable")[:MODEL_WORDS]])
+    words, place = np.unique(np.concatenate([w for _, w in rows]), return_inverse=True)
+    own = np.repeat([y for y, _ in rows], [len(w) for _, w in rows])
+    n_p = max(sum(y for y, _ in rows), 1)
+    n_u = max(len(rows) - n_p, 1)
+    p, u = np.bincount(place[own], minlength=len(words)) / n_p, np.bincount(place[~own], minlength=len(words)) / n_u
+    both = (p * n_p + u * n_u) / (n_p + n_u)
+    z = np.abs(p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
+    kept = np.flatnonzero((p * n_p + u * n_u >= min(LEAST_TEXTS, max(1, len(rows) // 10))) & (z >= LEAST_Z))
+    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:MODEL_WORDS]])
     words = words[kept]
 
     def known(own: np.ndarray) -> np.ndarray:
