@@ -1,4 +1,4 @@
-"""Query filters compiled to one boolean column, never null."""
+"""Query filters compiled to one boolean column; null counts as false."""
 
 from __future__ import annotations
 
@@ -17,8 +17,9 @@ from strandql.plans.values import TYPE_NUMBERS, Frame, PipelineError, Val, cast,
 MOST_PATTERN = 1024
 
 
-def _true(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def no(c: Column) -> Column:
+    """Not c, where an unknown counts as false. Elsewhere unknowns stay, so that comparisons reach the scan as they are."""
+    return ~F.coalesce(c, F.lit(False))
 
 
 class Predicate:
@@ -49,7 +50,7 @@ class Predicate:
                 out = test if out is None else (out & test if key == "$and" else out | test)
             if out is None:
                 return F.lit(key != "$or")
-            return ~out if key == "$nor" else out
+            return no(out) if key == "$nor" else out
         if key == "$expr":
             return truthy(Expr(self.root, self.vars)(cond))
         if key == "$text":
@@ -90,9 +91,9 @@ class Predicate:
             there = v.col.isNotNull() if v is not None else F.lit(False)
             return there if x else ~there
         if op == "$not":
-            return ~(self.operators(v, x) if isinstance(x, dict) else self.operator(v, "$regex", x, {}))
+            return no(self.operators(v, x) if isinstance(x, dict) else self.operator(v, "$regex", x, {}))
         if op in ("$ne", "$nin"):
-            return ~self.operator(v, "$eq" if op == "$ne" else "$in", x, cond)
+            return no(self.operator(v, "$eq" if op == "$ne" else "$in", x, cond))
         if op not in OPERATORS:
             raise PipelineError(f"unknown operator {op}")
         if v is None:
@@ -121,8 +122,8 @@ def _eq(p, v, x, cond):
         return F.lit(False)
     # A plain comparison with a literal, so that it can be pushed down to the scan.
     if v.is_date and isinstance(x, (dt.date, dt.datetime)):
-        return _true(v.col == w.col.cast(v.type))
-    return _true(v.col == w.col) if not v.is_struct and not v.is_array else equal(v, w)
+        return v.col == w.col.cast(v.type)
+    return v.col == w.col if not v.is_struct and not v.is_array else equal(v, w)
 
 
 def _range(op):
@@ -136,7 +137,7 @@ def _range(op):
         if v.is_struct or v.is_array:
             return v.col.isNotNull() & compare(op, v, w)
         a, b = v.col, w.col.cast(v.type) if v.is_date else w.col
-        return _true({"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op])
+        return {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
 
     return test
 
@@ -153,15 +154,15 @@ def _in(p, v, x, cond):
         if fitting:
             out = F.exists(v.col, lambda e: F.coalesce(e.isin(*fitting), F.lit(False)))
         if None in x:
-            out = _true(out) | v.col.isNull() | _true(F.exists(v.col, lambda e: e.isNull()))
+            out = out | v.col.isNull() | F.exists(v.col, lambda e: e.isNull())
     else:
         if fitting:
             out = v.col.isin(*fitting) if not v.is_date else v.col.isin(*[literal(e).col.cast(v.type) for e in fitting])
         if None in x:
-            out = _true(out) | v.col.isNull()
+            out = out | v.col.isNull()
     for pattern in patterns:
-        out = _true(out) | p.operator(v, "$regex", pattern, {})
-    return _true(out)
+        out = out | p.operator(v, "$regex", pattern, {})
+    return out
 
 
 def _type(p, v, x, cond):
@@ -178,7 +179,7 @@ def _regex(p, v, x, cond):
         x = x.pattern
     if len(x) > MOST_PATTERN:
         raise PipelineError("the pattern is too long")
-    return _true(v.col.rlike(inline_flags(x, cond.get("$options")))) if v.is_string else F.lit(False)
+    return v.col.rlike(inline_flags(x, cond.get("$options"))) if v.is_string else F.lit(False)
 
 
 def _all(p, v, x, cond):
@@ -189,7 +190,7 @@ def _all(p, v, x, cond):
         if isinstance(e, dict) and "$elemMatch" in e:
             out = out & _elem_match(p, v, e["$elemMatch"], cond)
         else:
-            out = out & _true(F.exists(v.col, _equals(v.type.elementType, e)))
+            out = out & F.exists(v.col, _equals(v.type.elementType, e))
     return out
 
 
@@ -202,21 +203,21 @@ def _elem_match(p, v, x, cond):
         return F.lit(False)
     kind = v.type.elementType
     if isinstance(kind, (T.StructType, T.MapType)):
-        return _true(F.exists(v.col, lambda e: Predicate(Val(e, kind), p.vars)(x)))
+        return F.exists(v.col, lambda e: Predicate(Val(e, kind), p.vars)(x))
     ops = x.get("value", x)
     ops = ops if isinstance(ops, dict) else {"$eq": ops}
-    return _true(F.exists(v.col, lambda e: Predicate(Val(e, kind), p.vars).operators(Val(e, kind), ops)))
+    return F.exists(v.col, lambda e: Predicate(Val(e, kind), p.vars).operators(Val(e, kind), ops))
 
 
 def _size(p, v, x, cond):
-    return _true(F.size(v.col) == x) if v.is_array else F.lit(False)
+    return F.size(v.col) == x if v.is_array else F.lit(False)
 
 
 def _mod(p, v, x, cond):
     divisor, rest = (int(e) for e in x)
     if divisor == 0:
         raise PipelineError("$mod by zero")
-    return _true(v.col.cast("long") % F.lit(divisor).cast("long") == rest) if v.is_number else F.lit(False)
+    return v.col.cast("long") % F.lit(divisor).cast("long") == rest if v.is_number else F.lit(False)
 
 
 def _bits(name):
@@ -226,7 +227,7 @@ def _bits(name):
             return F.lit(False)
         mask = F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
         own = v.col.cast("long").bitwiseAND(mask)
-        return _true({"$bitsAllSet": own == mask, "$bitsAnySet": own != 0, "$bitsAllClear": own == 0, "$bitsAnyClear": own != mask}[name])
+        return {"$bitsAllSet": own == mask, "$bitsAnySet": own != 0, "$bitsAllClear": own == 0, "$bitsAnyClear": own != mask}[name]
 
     return test
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandql.operators.predicate import Predicate
+from strandql.operators.predicate import Predicate, no
 from strandql.plans.context import Context, frame
 from strandql.plans.values import PipelineError, Val, cast, common_type, equal, literal, null, put, resolve, without
 
@@ -128,7 +128,7 @@ def _pull(old: Val, x: Any) -> Val:
             return Predicate(v)(x)
         return equal(v, literal(x))
 
-    return Val(F.filter(old.col, lambda e: ~goes(e)), old.type)
+    return Val(F.filter(old.col, lambda e: no(goes(e))), old.type)
 
 
 def _pop(old: Val, x: Any) -> Val:

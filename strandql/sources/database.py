@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandql.operators import geo, text
-from strandql.operators.predicate import Predicate
+from strandql.operators.predicate import Predicate, no
 from strandql.operators.stages import project, sort_columns
 from strandql.operators.update import Update, seed
 from strandql.operators.validate import Schema
@@ -365,7 +365,7 @@ class Collection:
             return Result(upserted=1)
         changed = Update(change, array_filters, query).apply(rows)
         modified = changed.exceptAll(rows).count() if changed.schema == rows.schema and not _has_map(rows) else matched
-        rest = df.filter(~test).drop("__row")
+        rest = df.filter(no(test)).drop("__row")
         self.database.store(self.name, _aligned(rest, changed))
         return Result(matched=matched, modified=modified)
 
@@ -381,14 +381,14 @@ class Collection:
         schema = self.frame().schema
         row = {**({"_id": found["_id"]} if found is not None and "_id" in schema.names else {}), **doc}
         new = self.database.spark.createDataFrame([row], schema)
-        self.database.store(self.name, df.filter(~test).drop("__row").unionByName(new))
+        self.database.store(self.name, df.filter(no(test)).drop("__row").unionByName(new))
         return Result(upserted=1) if found is None else Result(matched=1, modified=1)
 
     def delete_many(self, query: dict[str, Any], one: bool = False) -> Result:
         df, test = self._matching(query, one)
         gone = df.filter(test).count()
         if gone:
-            self.database.store(self.name, df.filter(~test).drop("__row"))
+            self.database.store(self.name, df.filter(no(test)).drop("__row"))
         return Result(deleted=gone)
 
     def delete_one(self, query: dict[str, Any]) -> Result:
