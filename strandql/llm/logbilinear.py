@@ -162,7 +162,7 @@ class Words:
         for w in singles:
             c = by_word.get(w, 0)
             self.noise[single[w]] = c
-            if c:
+            if c and w != END:  # the end is in no class
                 n[word_class(w)] -= c
                 v[word_class(w)] -= 1
         self.noise[len(singles) :] = n
