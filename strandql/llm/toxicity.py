@@ -92,7 +92,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
                 to_p, to_u = prior * (_sigmoid(zp) - 1) / p.n - gp, gu
             else:
                 to_p, to_u = gp, -gu
-            grad = p.back(to_p, size + 1) + u.back(to_u, size + 1)
+            grad = (p.back(to_p, size + 1) + u.back(to_u, size + 1)).astype(np.float64)
             grad[size] = to_p.sum() + to_u.sum()
             grad[:size] += decay * w[:size]
             t += 1
