@@ -127,9 +127,9 @@ def merge_frames(target: DataFrame, new: DataFrame, on: list[str], matched: Any,
     both = t.join(s, test, "full_outer")
     here, there = F.col("t__").isNotNull(), F.col("s__").isNotNull()
     if matched == "fail":
-        both = both.withColumn("t__", F.when(here & there, F.raise_error(F.lit("a document matches")).cast("boolean")).otherwise(F.col("t__")))
+        both = both.filter(F.when(here & there, F.raise_error(F.lit("a document matches")).cast("boolean")).otherwise(F.lit(True)))
     if unmatched == "fail":
-        both = both.withColumn("s__", F.when(there & ~here, F.raise_error(F.lit("a document does not match")).cast("boolean")).otherwise(F.col("s__")))
+        both = both.filter(F.when(there & ~here, F.raise_error(F.lit("a document does not match")).cast("boolean")).otherwise(F.lit(True)))
     if unmatched == "discard":
         both = both.filter(here)
     changed = None
