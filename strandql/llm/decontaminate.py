@@ -46,7 +46,7 @@ class Tier:
 
 
 #: Short items need shorter walks from every word.
-TIERS = (Tier(12, 16, 5, 4), Tier(MIN_WORDS, 6, 3, 1))
+TIERS = (Tier(12, 16, 8, 4), Tier(MIN_WORDS, 6, 4, 1))
 
 
 def normal_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,8 +83,14 @@ def walk_keys(words: np.ndarray, at: np.ndarray, tier: Tier, walk: int) -> np.nd
     return keys ^ (keys >> np.uint64(29))
 
 
-def least_edits(item: np.ndarray, words: np.ndarray) -> int:
-    """The least edit distance between the item and any window of the words (rows of the usual table, vectorised)."""
+def least_edits(item: np.ndarray, words: np.ndarray, most: int) -> int:
+    """The least edit distance between the item and any window of the words, if it is most or less; else most + 1.
+
+    Each word of the item that the words lack costs an edit, which settles nearly all chance candidates. For the others
+    come the rows of the usual table, vectorised.
+    """
+    if len(item) - np.isin(item, words).sum() > most:
+        return most + 1
     row = np.zeros(len(words) + 1, np.int32)
     steps = np.arange(len(words) + 1, dtype=np.int32)
     for k, w in enumerate(item):
@@ -92,7 +98,7 @@ def least_edits(item: np.ndarray, words: np.ndarray) -> int:
         step[1:] = np.minimum(step[1:], row[:-1] + (words != w))
         step[0] = k + 1
         row = np.minimum.accumulate(step - steps) + steps
-    return int(row.min())
+    return min(int(row.min()), most + 1)
 
 
 @dataclass
@@ -190,7 +196,7 @@ def leaks(block: ItemBlock, texts: list[str | None]) -> Iterator[tuple[int, int,
                 after = own[k + 1] if k + 1 < len(own) else None
                 if after is None or after - p > len(item) + 4 * most + 8:  # places near each other make one stretch
                     margin = 2 * most + 2
-                    best = min(best, least_edits(item, words[max(0, lo - margin) : max(0, p + len(item) + margin)]))
+                    best = min(best, least_edits(item, words[max(0, lo - margin) : max(0, p + len(item) + margin)], most))
                     lo = after
             if best <= most:
                 yield at + t, i, best
@@ -213,7 +219,7 @@ def item_blocks(items: DataFrame, max_edit: float, target_recall: float, id_col:
         yield ItemBlock(ids, words, max_edit).build(target_recall)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, target_recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, target_recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance (words), item_words: a row for each item that a row of docs holds."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -234,7 +240,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, targ
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, target_recall: float = 0.97, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, target_recall: float = 0.99, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item, all columns kept; nothing is shuffled."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
