@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandql.functions.expr import DOUBLE, INT, LONG, Expr, merge_structs
+from strandql.functions.expr import DOUBLE, INT, LONG, Expr
 from strandql.plans.values import PipelineError, Val, literal, number
 
 #: These see the rows of a group in their order.
@@ -109,4 +109,3 @@ def accumulate(c: Expr, spec: Any, pos: Column, over=lambda x: x) -> Val:
     return Val(F.struct(*[x.col.alias(k) for k, x in merged.items()]), v.type)
 
 
-__all__ = ["INT", "accumulate", "merge_structs", "needs_order"]

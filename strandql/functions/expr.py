@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 from collections.abc import Callable
 from typing import Any
@@ -11,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandql.plans.values import null, Frame, PipelineError, Val, array_of, cast, common_type, compare, equal, literal, number, resolve, step, struct_of, truthy, type_name, unify
+from strandql.plans.values import Frame, PipelineError, Val, array_of, cast, common_type, compare, equal, literal, null, number, resolve, step, struct_of, truthy, type_name, unify
 
 LONG, INT, DOUBLE, STRING, BOOL, STAMP = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.TimestampNTZType()
 REGISTRY: dict[str, Callable[[Expr, Any], Val]] = {}
@@ -342,7 +341,7 @@ def _(c, a):
     start = items[2].col.cast("int") if len(items) > 2 else F.lit(0)
     if len(items) > 3:
         s = F.substring(s, F.lit(1), items[3].col.cast("int"))
-    return Val(F.locate(sub, s, start + 1) - 1 if False else F.call_function("locate", sub, s, start + 1) - 1, INT)
+    return Val(F.call_function("locate", sub, s, start + 1) - 1, INT)
 
 
 @op("$replaceAll")

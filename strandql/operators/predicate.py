@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strandql.functions.expr import Expr, inline_flags
 from strandql.operators import geo
-from strandql.plans.values import TYPE_NUMBERS, Frame, PipelineError, Val, cast, compare, equal, literal, null, rank, resolve, truthy, type_name
+from strandql.plans.values import TYPE_NUMBERS, Frame, PipelineError, Val, compare, equal, literal, null, rank, resolve, truthy, type_name
 
 MOST_PATTERN = 1024
 
@@ -237,5 +237,3 @@ OPERATORS = {
     **{k: _range(k) for k in ("$gt", "$gte", "$lt", "$lte")},
     **{k: _bits(k) for k in ("$bitsAllSet", "$bitsAnySet", "$bitsAllClear", "$bitsAnyClear")},
 }
-
-__all__ = ["Predicate", "cast"]

@@ -14,8 +14,8 @@ from strandql.functions.accum import accumulate, needs_order, split
 from strandql.functions.expr import Expr
 from strandql.operators import geo, vector
 from strandql.operators.predicate import Predicate
-from strandql.plans.context import POS, Context, frame, own_columns, select, visible, with_pos, without_pos
-from strandql.plans.values import null, PipelineError, Val, cast, literal, put, resolve, struct_of, truthy, without
+from strandql.plans.context import POS, Context, frame, select, visible, with_pos, without_pos
+from strandql.plans.values import PipelineError, Val, null, put, resolve, struct_of, truthy, without
 
 STAGES: dict[str, Callable[[DataFrame, Any, Context], DataFrame]] = {}
 
@@ -400,5 +400,3 @@ def add_value(df: DataFrame, path: str, value: Val) -> DataFrame:
     head, *below = path.split(".")
     return df.withColumn(head, put(frame(df).get(head), below, value).col)
 
-
-__all__ = ["STAGES", "cast", "literal", "own_columns"]

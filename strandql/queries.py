@@ -227,14 +227,14 @@ def _(spark, sf_dir):
     return merge_frames(base.filter("c_custkey % 2 = 0"), new, ["c_custkey"], "keepExisting", "discard", Context(spark))
 
 
-@custom("update_inc_set", "SELECT p_partkey, p_size + 5 AS p_size, 'new' AS p_type, least(p_retailprice, 1200.0) AS p_retailprice, len(string_split(p_name, ' ')) + 2 AS n, (p_partkey * 2)::BIGINT AS dbl FROM part")
+@custom("update_inc_set", "SELECT p_partkey, p_size + 5 AS p_size, 'new' AS p_type, least(p_retailprice, 1200.0) AS p_retailprice, (len(string_split(p_name, ' ')) + 2)::INT AS n, (p_partkey * 2)::BIGINT AS dbl FROM part")
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_retailprice", F.split("p_name", " ").alias("w"), F.col("p_partkey").alias("dbl"))
     change = {"$inc": {"p_size": 5}, "$set": {"p_type": "new"}, "$min": {"p_retailprice": 1200.0}, "$mul": {"dbl": 2}, "$push": {"w": {"$each": ["x", "y"], "$position": 0}}}
     return Update(change).apply(rows).select("p_partkey", "p_size", "p_type", "p_retailprice", F.size("w").alias("n"), "dbl")
 
 
-@custom("update_array_ops", "SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x <> 'cold')) + 1 AS n, CASE WHEN list_contains(string_split(p_name, ' '), 'cold') THEN 1 ELSE 0 END AS was FROM part")
+@custom("update_array_ops", "SELECT p_partkey, (len(list_filter(string_split(p_name, ' '), lambda x: x <> 'cold')) + 1)::INT AS n, CASE WHEN list_contains(string_split(p_name, ' '), 'cold') THEN 1 ELSE 0 END AS was FROM part")
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"), F.array_contains(F.split("p_name", " "), "cold").cast("int").alias("was"))
     out = Update({"$pull": {"w": "cold"}}).apply(rows)

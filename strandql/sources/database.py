@@ -17,7 +17,7 @@ from strandql.operators.update import Update, seed
 from strandql.operators.validate import Schema
 from strandql.plans import pipeline as plans
 from strandql.plans.context import Context, frame
-from strandql.plans.values import PipelineError, cast, common_type, fan_out, literal, resolve, struct_of
+from strandql.plans.values import PipelineError, cast, common_type, fan_out, resolve, struct_of
 from strandql.sources.tables import shared_dir
 
 
@@ -460,4 +460,4 @@ def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     return shape(a, left).unionByName(shape(b, right))
 
 
-__all__ = ["Collection", "Cursor", "Database", "Result", "literal"]
+
