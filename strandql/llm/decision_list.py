@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).withColumn("fold", common.fold_of(F.col("doc_id")))
     if held_out_fold is not None:
         own = own.where(F.col("fold") != held_out_fold)
-    chosen = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(TRAIN_ROWS))
+    chosen = F.broadcast(common.bounded_sample(own, TRAIN_ROWS, "doc_id", "label"))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
     known = common.materialize(text_counts(src, "label", "fold").select("label", "fold", *RATES), "labelled")
     edges = known.agg(*[F.percentile_approx(r, QUANTILES, 10_000).alias(r) for r in RATES]).first()

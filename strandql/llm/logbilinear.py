@@ -236,10 +236,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
     log_base = float(np.log10(n + 0.5 * (v + 1)))
-    most = counts.where(F.octet_length("word") <= BROADCAST_WORD_BYTES).orderBy(F.desc("c"), "word").limit(BROADCAST_WORDS).collect()
+    # The broadcast words are those above a count, found from a histogram of counts: no partition sends more than its
+    # share of them, and the words of all partitions together are BROADCAST_WORDS at most.
+    short, level = F.octet_length("word") <= BROADCAST_WORD_BYTES, F.floor(F.log2("c") * 16)
+    room, least = BROADCAST_WORDS, None
+    for row in counts.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 16 levels a power of two
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["level"]
+    frequent = (F.col("word") == F.lit(END)) | (short & (level >= least) if least is not None else F.lit(False))
+    most = sorted(counts.where(frequent).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     by_class = counts.where(F.col("word") != F.lit(END)).groupBy((F.crc32(F.substring("word", 1, 2)) % CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     listed = [(bytes(r["word"]), r["c"]) for r in most]
-    last = listed[-1] if len(listed) == BROADCAST_WORDS else None
     if not n:  # no training text: the end of a text is still an output
         listed = [(END, 0)]
     words = Words(listed, {r["k"]: (r["c"], r["v"]) for r in by_class})
@@ -264,9 +273,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shape = "doc_id long, n_tokens long, known long, log_known double, model double, rare array<binary>, times array<int>, held_out boolean, row long"
     first = common.materialize(src.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row")).mapInArrow(run, shape), "scores")
-    # Words beyond the broadcast ones: their counts are joined by word; none of those has a hot key's share of rows.
+    # Words beyond the broadcast ones: their counts are joined by word; none of those is frequent.
     spread = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rest = counts if last is None else counts.where((F.col("c") <= last[1]) | (F.octet_length("word") > BROADCAST_WORD_BYTES))
+    rest = counts.where(~frequent)
     joined = spread.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_rare"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0)).alias("known_rare"))
     out = first.select("row", "doc_id", "held_out", "n_tokens", "known", "log_known", "model").join(joined, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))

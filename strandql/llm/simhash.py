@@ -171,7 +171,7 @@ def links(points: DataFrame, near: int = 3, shard_points: int = SHARD_POINTS, le
     shard_points = min(shard_points, total / least_shards)
     sample_points = int(min(MOST_SAMPLE, max(LEAST_SAMPLE, SHARD_SAMPLE * total / max(shard_points, 1))))
     # Chosen by hash, so that the tree is the same in every run.
-    sample = np.array([r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect()], np.int64).view(np.uint64)
+    sample = np.array([r["fp"] for r in common.bounded_sample(points.select("fp"), sample_points, "fp").collect()], np.int64).view(np.uint64)
     nodes = build_tree(sample, max(BLOCK_POINTS / 8, shard_points * min(1.0, len(sample) / max(total, 1))), near)
     shared = spark.sparkContext.broadcast(nodes)  # bounded by the sample
 

@@ -93,7 +93,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id")) != held_out_fold))
     # A fixed number of rows, chosen by the hash of the id: so bounded, they can be broadcast.
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(TRAIN_DOCS)
+    chosen = common.bounded_sample(own, TRAIN_DOCS, "doc_id", "label")
     labelled = src.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(feature_counts, "label int, counts binary")
     rows, held = [], 0
     ready = common.materialize(labelled, "labelled")

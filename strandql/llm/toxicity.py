@@ -133,9 +133,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
     in_fold = F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id")) != held_out_fold)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & in_fold)
     share = own.agg(F.avg("label").alias("prior"), F.sum("label").alias("n")).first()
-    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    positives = own.where("label = 1").select("doc_id").orderBy(*by_hash).limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
-    others = src.select("doc_id").where(in_fold).orderBy(*by_hash).limit(UNLABELLED).distinct().select("doc_id", F.lit(False).alias("positive"))
+    positives = common.bounded_sample(own.where("label = 1").select("doc_id"), POSITIVES, "doc_id").select("doc_id", F.lit(True).alias("positive"))
+    others = common.bounded_sample(src.select("doc_id").where(in_fold), UNLABELLED, "doc_id").distinct().select("doc_id", F.lit(False).alias("positive"))
     model = None
     if share["n"]:
         chosen = F.broadcast(positives.union(others))  # POSITIVES + UNLABELLED rows at most

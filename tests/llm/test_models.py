@@ -58,7 +58,7 @@ def test_language_model(spark):
 def test_rare_words_come_by_join(spark, make_docs, monkeypatch):
     docs = make_docs(*[(i, f"the a{i} b{i % 7} the Of") for i in range(60)])
     whole = sorted(map(tuple, logbilinear.score_texts(docs).collect()))
-    monkeypatch.setattr(logbilinear, "BROADCAST_WORDS", 4)
+    monkeypatch.setattr(logbilinear, "BROADCAST_WORDS", 12)
     few = sorted(map(tuple, logbilinear.score_texts(docs).collect()))
     for a, b in zip(whole, few):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
