@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandql.llm import common
+from strandql.llm import bytefeat, common
 
 MAGIC = b"STRHUF01"
 HEAD = struct.Struct("<8s6IQ")
@@ -41,7 +41,7 @@ CHECKPOINT_IDS = 256
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 23
 #: Words whose ids a Python worker remembers; the memory of a worker is bounded by it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 4_000_000
 
 
 # ---- code
@@ -197,28 +197,129 @@ def _store(uri: str):
 
 # ---- tokenizing
 
-_tokenizers: dict[str, object] = {}
-_words: dict[str, dict[bytes, bytes]] = {}
+#: By path and kind of number, for the life of a Python worker.
+_encoders: dict[tuple[str, str], WordIds] = {}
 
 
-def encode_text(data: bytes, tokenizer, known: dict[bytes, bytes], kind: str) -> bytes:
-    """Ids of a whole text as little-endian numbers of this kind.
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[33:127] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_PUNCTUATION &= ~_ALNUM
 
-    The tokenizer's patterns never match across ASCII white space, so a text's ids are those of its words; ids of
-    words seen before come from ``known``. Its text is lower-cased by the tokenizer anyhow; doing so first makes
-    more words equal, but only where no special token, which is case-sensitive, can stand.
+
+def core_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the ASCII punctuation at the end of each word begins, if a letter or digit stands before it; else the end.
+
+    Letters outside ASCII are known by their first byte: U+00C0 to U+027F are letters but for the signs of
+    multiplication and division.
+    """
+    last = np.maximum.accumulate(np.where(_PUNCTUATION[buf], -1, np.arange(len(buf))))[ends - 1]
+    inside = last >= starts
+    last = np.where(inside, last, starts)
+    before = buf[np.maximum(last - 1, 0)]
+    letter = (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & ((buf[last] == 0x97) | (buf[last] == 0xB7)))
+    return np.where(inside & (_ALNUM[buf[last]] | ((buf[last] >= 0x80) & (last > starts) & letter)), last + 1, ends)
+
+
+class WordIds:
+    """Ids of texts as little-endian numbers, word by word, words remembered by hash.
+
+    For tokenizers that drop white space and mark the end of a word: their patterns never match across ASCII white
+    space, so a text's ids are those of its words. Nor do they match across the border of a letter or digit and
+    punctuation that runs to the word's end, so these two parts are looked up apart, and fewer different ones are met.
+    Parts of letters only are encoded many in one string: the last token of each, and no other, is one that ends a
+    word. Texts that may hold a special token, and all texts of other tokenizers, are encoded as they are.
     """
-    words = (data if b"<|" in data else data.lower()).split()
-    missing = [w for w in set(words) if w not in known]
-    if missing:
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list(set(words))
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, kind).tobytes()
-    return b"".join(map(known.__getitem__, words))
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        self.tokenizer, self.kind = tokenizer, kind
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(arrays of ids, where each part begins in them put together, how many ids it has)."""
+        ids, held = [], 0
+        begins, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        plain = [k for k, p in enumerate(parts) if p.isalpha()]
+        rest = [k for k, p in enumerate(parts) if not p.isalpha()]
+        for k in range(0, len(plain), 1000):
+            own = plain[k : k + 1000]
+            got = self._ids([" ".join([parts[j] for j in own])])[0]
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) != len(own) or cuts[-1] != len(got):
+                rest += own
+                continue
+            sizes[own] = np.diff(cuts, prepend=0)
+            begins[own] = held + cuts - sizes[own]
+            ids.append(got)
+            held += len(got)
+        for k in range(0, len(rest), 4096):
+            own = rest[k : k + 4096]
+            for j, got in zip(own, self._ids([parts[j] for j in own])):
+                begins[j], sizes[j] = held, len(got)
+                ids.append(got)
+                held += len(got)
+        return ids, begins, sizes
+
+    def _places(self, hashes: np.ndarray, part) -> np.ndarray:
+        """Places of these (ascending) hashes in the store; part(k): the text of the k-th, asked for if it is new."""
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != hashes[inside]
+        if new.any():
+            if len(self.keys) + new.sum() > CACHE_WORDS and len(self.keys):
+                self._forget()
+                return self._places(hashes, part)
+            ids, begins, sizes = self._parts([part(k).decode("utf-8", "replace") for k in np.flatnonzero(new).tolist()])
+            begins += len(self.flat)
+            self.flat = np.concatenate([self.flat, *ids])
+            self.keys = np.insert(self.keys, at[new], hashes[new])
+            self.begins, self.sizes = np.insert(self.begins, at[new], begins), np.insert(self.sizes, at[new], sizes)
+            at = np.searchsorted(self.keys, hashes)
+        return at
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        by_word = self.ends.any()
+        whole = [k for k, t in enumerate(texts) if t and (not by_word or b"<|" in t)]
+        out = [b""] * len(texts)
+        for k in range(0, len(whole), 64):
+            own = whole[k : k + 64]
+            for j, ids in zip(own, self._ids([texts[j].decode("utf-8", "replace") for j in own])):
+                out[j] = ids.tobytes()
+        taken = set(whole)
+        # These tokenizers lower-case anyhow.
+        for at, to, buf, offsets in bytefeat.chunks([t.lower() if t and k not in taken else b"" for k, t in enumerate(texts)]):
+            starts, ends = bytefeat.spans(buf, False)
+            if not len(starts):
+                continue
+            cuts = core_ends(buf, starts, ends)
+            tail = cuts < ends
+            place = np.arange(len(starts)) + np.cumsum(tail) - tail
+            lo, hi = np.empty(len(starts) + int(tail.sum()), np.int64), np.empty(len(starts) + int(tail.sum()), np.int64)
+            lo[place], hi[place] = starts, cuts
+            lo[place[tail] + 1], hi[place[tail] + 1] = cuts[tail], ends[tail]
+            hashes, first, which = np.unique(bytefeat.span_hashes(buf, lo, hi), return_index=True, return_inverse=True)
+            data = buf.tobytes()
+            known = self._places(hashes, lambda k: data[lo[first[k]] : hi[first[k]]])
+            sizes = self.sizes[known][which]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begins[known][which] - upto[:-1], sizes)]
+            edges = upto[np.searchsorted(lo, offsets)].tolist()
+            for k in range(to - at):
+                if at + k not in taken:
+                    out[at + k] = ids[edges[k] : edges[k + 1]].tobytes()
+        return out
 
 
 def _tokenize(path: str, end_id: int, kind: str):
@@ -228,14 +329,13 @@ def _tokenize(path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        known = _words.setdefault(path, {})
+        if (path, kind) not in _encoders:
+            _encoders[path, kind] = WordIds(Tokenizer.from_file(path), kind)
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            ids = [(encode_text(t, _tokenizers[path], known, kind) if t else b"") + end for t in batch.column(1).to_pylist()]
+            ids = [own + end for own in _encoders[path, kind].encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["part", "seq", "doc_id", "ids"])
             seq += n
 
