@@ -6,7 +6,7 @@ texts differs from their share of unlabelled ones by LEAST_Z standard errors ent
 their presence minimise prior * R+(g, 1) + max(0, R_u(g, 0) - prior * R+(g, 0)), stepping
 back where the bracket is negative, and their scores are averaged. The prior is the toxic share of all labelled
 training rows. Training is numpy on the driver over bounded numbers of rows (POSITIVES, UNLABELLED) and bytes
-(TRAIN_BYTES) of whole texts; every whole text is scored in one pass without a shuffle. Words are identified by a
+(TRAIN_BYTES of known features) of whole texts; every whole text is scored in one pass without a shuffle. Words are identified by a
 64-bit hash, not by a bucket, so that a clean document's rare words do not fall on a toxic word's weight.
 
 Defined cases: null and empty texts have no word and get the score of the bias; labels that are null, not 0/1 or
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandql.llm import bytefeat, common
 
 POSITIVES, UNLABELLED = 3000, 9000
-TRAIN_BYTES = 128 << 20
+TRAIN_BYTES = 64 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Features of the model: in so many training texts at least, so many standard errors apart, so many at most.
 LEAST_TEXTS, LEAST_Z, MODEL_WORDS = 4, 5.0, 20_000
@@ -49,7 +49,7 @@ def word_sets(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray,
 def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (positive, text) to (positive, bytes): the distinct word hashes of each text."""
     for batch in batches:
-        out = [b"".join(np.unique(h).tobytes() for _, _, h, _ in word_sets([t])) for t in batch.column(1).to_pylist()]
+        out = [np.unique(np.concatenate([h for _, _, h, _ in word_sets([t])])).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["positive", "words"])
 
 
@@ -102,25 +102,43 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w[:size], float(w[size])
 
 
-def train(rows: list[tuple[bool, np.ndarray]], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted word hashes, weights by word and classifier, biases)."""
-    words, place = np.unique(np.concatenate([w for _, w in rows]), return_inverse=True)
-    own = np.repeat([y for y, _ in rows], [len(w) for _, w in rows])
-    n_p = max(sum(y for y, _ in rows), 1)
-    n_u = max(len(rows) - n_p, 1)
-    p, u = np.bincount(place[own], minlength=len(words)) / n_p, np.bincount(place[~own], minlength=len(words)) / n_u
-    both = (p * n_p + u * n_u) / (n_p + n_u)
-    z = np.abs(p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    kept = np.flatnonzero((p * n_p + u * n_u >= min(LEAST_TEXTS, max(1, len(rows) // 10))) & (z >= LEAST_Z))
-    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:MODEL_WORDS]])
-    words = words[kept]
-
-    def known(own: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
-        return at[words[at] == own] if len(words) else at[:0]
-
-    positives = [known(w) for y, w in rows if y]
-    unlabelled = [known(w) for y, w in rows if not y]
+def feature_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (positive, words) to (word, p, u): in how many positive and unlabelled texts each feature is."""
+    for batch in batches:
+        kinds = np.array(batch.column(0).to_pylist(), bool)
+        texts = [np.frombuffer(w, np.int64) for w in batch.column(1).to_pylist()]
+        for lo in range(0, len(texts), 200):
+            own = texts[lo : lo + 200]
+            words, place = np.unique(np.concatenate(own), return_inverse=True)
+            kind = np.repeat(kinds[lo : lo + 200], [len(t) for t in own])
+            p, u = np.bincount(place[kind], minlength=len(words)), np.bincount(place[~kind], minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(p), pa.array(u)], ["word", "p", "u"])
+
+
+def model_words(ready: DataFrame) -> np.ndarray:
+    """Sorted hashes of the features whose shares of positive and unlabelled texts differ; MODEL_WORDS at most."""
+    n = {r["positive"]: r["n"] for r in ready.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
+    tallies = ready.mapInArrow(feature_tallies, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    both = (F.col("p") + F.col("u")) / (n_p + n_u)
+    spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / spread
+    least = min(LEAST_TEXTS, max(1, (n_p + n_u) // 10))
+    kept = tallies.where(F.col("p") + F.col("u") >= least).select("word", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    found = kept.orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()
+    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64))
+
+
+def known_places(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places in the model of those of the features that it has."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+    return at[words[at] == own]
+
+
+def train(words: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted word hashes, weights by word and classifier, biases); texts are lists of places in words."""
     found = [fit(positives, unlabelled, len(words), prior, 100 + k) for k in range(CLASSIFIERS)]
     return words, np.stack([w for w, _ in found], axis=1), np.array([b for _, b in found])
 
@@ -139,15 +157,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
     if share["n"]:
         chosen = F.broadcast(positives.union(others))  # POSITIVES + UNLABELLED rows at most
         ready = common.materialize(src.join(chosen, "doc_id").select("positive", "text").mapInArrow(distinct_words, "positive boolean, words binary"), "labelled")
-        rows, held = [], 0
-        for row in ready.orderBy(F.xxhash64("words", "positive")).toLocalIterator():
-            held += len(row["words"])
+        words = model_words(ready)
+        known = spark.sparkContext.broadcast(words)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [known_places(known.value, np.frombuffer(w, np.uint64)).astype("<i4").tobytes() for w in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["positive", "places"])
+
+        texts: tuple[list, list] = ([], [])
+        held = 0
+        for row in ready.mapInArrow(place, "positive boolean, places binary").orderBy(F.xxhash64("places", "positive"), "positive").toLocalIterator():
+            held += len(row["places"])
             if held > TRAIN_BYTES:
                 break
-            rows.append((row["positive"], np.unique(np.frombuffer(row["words"], np.uint64))))
+            texts[row["positive"]].append(np.frombuffer(row["places"], "<i4").astype(np.int64))
         common.discard(ready)
-        if any(y for y, _ in rows):
-            model = train(rows, min(max(float(share["prior"]), 1e-4), 0.9))
+        if texts[True]:
+            model = train(words, texts[True], texts[False], min(max(float(share["prior"]), 1e-4), 0.9))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
