@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandql.llm import common, decision_list, decontaminate, huffman, mixing, simhash
+from strandql.llm import common, decision_list, decontaminate, huffman, jaccard, mixing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Shingles of five words; 3 of 64 bits is a similarity of well over 0.8."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group stays. Shingles of five words, an exact Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, least=0.8, shingle=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,7 +217,12 @@ def near_duplicates(docs: DataFrame, near: int = 3, shingle: int = 3, id_col: st
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), one row per row of docs."""
     rows = common.materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     points = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
-    roots = components(links(points, near))
+    found = labelled(rows, points, components(links(points, near)))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labelled(rows: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for rows (doc_id, fp); points: fp, rep (its smallest doc_id), n (its rows); roots: as components gives them."""
     of = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     of = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "n", "component_id")
     of = common.materialize(of, "classes")
@@ -227,8 +232,7 @@ def near_duplicates(docs: DataFrame, near: int = 3, shingle: int = 3, id_col: st
     hot = F.broadcast(of.where(F.col("n") > most).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot")))
     marked = rows.join(hot, "fp", "left")
     cold = marked.where("hot is null").join(of.where(F.col("n") <= most), "fp").select("doc_id", "fp", "component_id")
-    found = marked.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(cold)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(cold)
 
 
 def keep_one(docs: DataFrame, near: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +240,11 @@ def keep_one(docs: DataFrame, near: int = 3, shingle: int = 3, id_col: str = "do
 
     Where one id stands on several rows, one of them stays. Documents without an id are left as they are.
     """
-    found = near_duplicates(docs, near, shingle, id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, near, shingle, id_col, text_col), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose doc_id is not the component_id that found (doc_id, component_id) gives it."""
     found = common.materialize(found.select("doc_id", "component_id"), "groups")
     tally = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
