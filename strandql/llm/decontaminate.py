@@ -5,7 +5,7 @@ step j emits the word at the pointer and moves on if a random function of (j, wo
 the random function fall back into step after an edit, so windows at a small edit distance get embeddings at a small
 Hamming distance. A key is the hash of a few sampled positions of the leading steps; several samples are taken from
 a walk, and walks are repeated with other random functions until simulated leaks with the largest edit distance
-allowed are found at the target recall. Every offset of an item is indexed, so a document needs a window at every
+allowed are found at the target recall for the items of every length by itself; if that takes too many, it is an error. Every offset of an item is indexed, so a document needs a window at every
 STRIDE-th word only. Whatever a key brings up is verified: the least word edit distance between the item and any
 window of the document around the place must be at most max_edit of the item's words.
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from strandql.llm import bytefeat, common
 
 MIN_WORDS = 4
-#: Words of items in a block; with all keys about 20 MB at most (a longer item has a block of its own).
+#: Words of items in a block; its keys take about 4 MB a walk (a longer item has a block of its own).
 BLOCK_WORDS = 1 << 16
 SAMPLES = 4
-MAX_WALKS = 10
+MAX_WALKS = 24
+#: Simulated leaks of a length; lengths from WHOLE_LENGTHS words on are taken together by quarters of a power of two.
+TRIALS, WHOLE_LENGTHS = 300, 24
 _PRIME = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -45,8 +47,8 @@ class Tier:
     stride: int
 
 
-#: Short items need shorter walks from every word.
-TIERS = (Tier(12, 16, 8, 4), Tier(MIN_WORDS, 6, 4, 1))
+#: Short items need shorter walks from more words.
+TIERS = (Tier(24, 16, 8, 4), Tier(12, 12, 6, 2), Tier(MIN_WORDS, 6, 4, 1))
 
 
 def normal_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,6 +103,10 @@ def least_edits(item: np.ndarray, words: np.ndarray, most: int) -> int:
     return min(int(row.min()), most + 1)
 
 
+def length_class(words: int) -> int:
+    return words if words < WHOLE_LENGTHS else WHOLE_LENGTHS + int(4 * np.log2(words / WHOLE_LENGTHS))
+
+
 @dataclass
 class ItemBlock:
     """Some items and their keys, for every tier that has items: (tier, walks, sorted keys, item and offset of each, filter)."""
@@ -119,12 +125,18 @@ class ItemBlock:
             own = [i for i, w in enumerate(self.words) if tier.least <= len(w) < top]
             if not own:
                 continue
+            lengths: dict[int, list[int]] = {}
+            for i in own:
+                lengths.setdefault(length_class(len(self.words[i])), []).append(i)
             walks = 0
-            while walks < MAX_WALKS:
+            while lengths:
+                if walks == MAX_WALKS:
+                    raise RuntimeError(f"{walks} walks do not reach a recall of {target_recall} for items of {sorted(len(self.words[i[0]]) for i in lengths.values())} words")
                 walks += 1
-                if self._recall(own, tier, walks) >= target_recall:
-                    break
-            self.tiers.append(self._index(own, tier, walks))
+                index = self._index(own, tier, walks)
+                # A walk only adds candidates: what has reached the target stays there.
+                lengths = {n: same for n, same in lengths.items() if self._recall(same, index) < target_recall}
+            self.tiers.append(index)
         return self
 
     def _index(self, own: list[int], tier: Tier, walks: int) -> tuple:
@@ -141,20 +153,20 @@ class ItemBlock:
         bits[keys >> np.uint64(44)] = True
         return tier, walks, keys[order], np.tile(np.array(own)[which], times)[order].astype(np.int32), np.tile(at, times)[order].astype(np.int32), bits
 
-    def _recall(self, own: list[int], tier: Tier, walks: int) -> float:
+    def _recall(self, own: list[int], index: tuple) -> float:
         """Share of simulated leaks that are found: items with as many random edits as allowed, amid other words."""
         rng = np.random.default_rng(11)
         texts = []
-        tried = [own[int(k)] for k in rng.integers(0, len(own), 150)]
+        tried = [own[int(k)] for k in rng.integers(0, len(own), TRIALS)]
         for i in tried:
             words = self.words[i].tolist()
             for _ in range(self.allowed(i)):
                 k, kind = int(rng.integers(0, len(words))), rng.integers(0, 3)
                 words[k : k + int(kind != 0)] = [int(rng.integers(1, 1 << 62))] * int(kind != 1)
-            around = rng.integers(1, 1 << 62, 20 + int(rng.integers(0, tier.stride))).tolist()
+            around = rng.integers(1, 1 << 62, 20 + int(rng.integers(0, index[0].stride))).tolist()
             texts.append(np.array([*around, *words, *around], np.uint64))
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        found = {(d, i) for d, i, _ in candidates(self._index(own, tier, walks), np.concatenate(texts), offsets)}
+        found = {(d, i) for d, i, _ in candidates(index, np.concatenate(texts), offsets)}
         return sum((d, i) in found for d, i in enumerate(tried)) / len(tried)
 
 
