@@ -3,8 +3,9 @@
 ``write_ids`` encodes every text with a public tokenizer, counts the ids of the whole corpus, builds one
 canonical code whose words have at most ``max_len`` bits (package-merge), and writes the ids in ascending id
 order to binary files. ``read_ids`` decodes them with one table look-up per id, every checkpointed segment of
-a file advancing in step. Work is split by ranges of the id, so no task depends on a hot key or on the corpus
-size; only counts by vocabulary entry and sums by partition reach the driver.
+a file advancing in step. Texts are encoded where they are read; their ids are then split by ranges of the document
+id, so no task depends on a hot key or on the corpus size; only counts by vocabulary entry and sums by partition reach
+the driver. The folder must be on a store that pyarrow can write (local or mounted, HDFS, S3, GCS).
 
 Defined cases: a null or empty text has the end id alone; repeated rows are encoded as often as they occur
 (equal ids are ordered by their text's hash); a null id sorts first and comes back null; an empty table gives
@@ -41,7 +42,7 @@ CHECKPOINT_IDS = 256
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 23
 #: Words whose ids a Python worker remembers; the memory of a worker is bounded by it.
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 2_000_000
 
 
 # ---- code
@@ -188,6 +189,12 @@ def read_file(data: bytes, group: int = 32) -> Iterator[tuple[list[int | None],
     yield [None if z else int(d) for d, z in zip(doc_ids, nulls)], sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI, by the default file system of Spark where the folder names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _store(uri: str):
     """pyarrow file system and path of a folder's URI."""
     from pyarrow import fs
@@ -195,6 +202,12 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
+def joined(column: pa.Array) -> memoryview | bytes:
+    """The bytes of all rows of a binary column without nulls, one behind the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2])[offsets[0] : offsets[-1]] if len(column) and column.buffers()[2] else b""
+
+
 # ---- tokenizing
 
 #: By path and kind of number, for the life of a Python worker.
@@ -206,6 +219,12 @@ _PUNCTUATION[33:127] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _PUNCTUATION &= ~_ALNUM
+#: The leading bytes of a number of eight, by how many of them belong to a word.
+_LEADING = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_LONG = np.uint64(1 << 63)
+#: Up to so many bytes three numbers of eight bytes hold a part whole.
+THREE_NUMBERS = 24
 
 
 def core_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -214,22 +233,32 @@ def core_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     Letters outside ASCII are known by their first byte: U+00C0 to U+027F are letters but for the signs of
     multiplication and division.
     """
-    last = np.maximum.accumulate(np.where(_PUNCTUATION[buf], -1, np.arange(len(buf))))[ends - 1]
-    inside = last >= starts
-    last = np.where(inside, last, starts)
-    before = buf[np.maximum(last - 1, 0)]
-    letter = (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & ((buf[last] == 0x97) | (buf[last] == 0xB7)))
-    return np.where(inside & (_ALNUM[buf[last]] | ((buf[last] >= 0x80) & (last > starts) & letter)), last + 1, ends)
+    out = ends.copy()
+    own = np.flatnonzero(_PUNCTUATION[buf[ends - 1]])
+    tip, least = ends[own] - 1, starts[own]  # the last byte that may be a letter's
+    todo = np.arange(len(own))
+    while len(todo):
+        todo = todo[(tip[todo] > least[todo]) & _PUNCTUATION[buf[tip[todo]]]]
+        tip[todo] -= 1
+    last, before = buf[tip], buf[np.maximum(tip - 1, 0)]
+    letter = (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    cut = _ALNUM[last] | ((last >= 0x80) & (tip > least) & letter)
+    out[own[cut]] = tip[cut] + 1
+    return out
 
 
 class WordIds:
-    """Ids of texts as little-endian numbers, word by word, words remembered by hash.
+    """Ids of texts as little-endian numbers, word by word, the parts of words remembered.
 
     For tokenizers that drop white space and mark the end of a word: their patterns never match across ASCII white
     space, so a text's ids are those of its words. Nor do they match across the border of a letter or digit and
     punctuation that runs to the word's end, so these two parts are looked up apart, and fewer different ones are met.
     Parts of letters only are encoded many in one string: the last token of each, and no other, is one that ends a
     word. Texts that may hold a special token, and all texts of other tokenizers, are encoded as they are.
+
+    A part of seven bytes or fewer is its own key in an open hash table. One of up to THREE_NUMBERS bytes is found by
+    a hash of its three numbers of eight bytes and its size, and these are compared at every hit; where they differ, and for longer
+    parts, a dictionary of the bytes decides. So no part ever gets another's ids, whatever its hash.
     """
 
     def __init__(self, tokenizer, kind: str) -> None:
@@ -240,8 +269,13 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.kind)
+        """Entry 0 stands for an empty slot."""
+        self.n, self.bits = 1, 16
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.keys, self.words = np.zeros(1 << 15, np.uint64), np.zeros((4, 1 << 15), np.uint64)
+        self.begins, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.flat, self.held = np.zeros(1 << 16, self.kind), 0
+        self.by_bytes: dict[bytes, int] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -271,22 +305,84 @@ class WordIds:
                 held += len(got)
         return ids, begins, sizes
 
-    def _places(self, hashes: np.ndarray, part) -> np.ndarray:
-        """Places of these (ascending) hashes in the store; part(k): the text of the k-th, asked for if it is new."""
-        at = np.searchsorted(self.keys, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != hashes[inside]
-        if new.any():
-            if len(self.keys) + new.sum() > CACHE_WORDS and len(self.keys):
-                self._forget()
-                return self._places(hashes, part)
-            ids, begins, sizes = self._parts([part(k).decode("utf-8", "replace") for k in np.flatnonzero(new).tolist()])
-            begins += len(self.flat)
-            self.flat = np.concatenate([self.flat, *ids])
-            self.keys = np.insert(self.keys, at[new], hashes[new])
-            self.begins, self.sizes = np.insert(self.begins, at[new], begins), np.insert(self.sizes, at[new], sizes)
-            at = np.searchsorted(self.keys, hashes)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, 0 where there is none."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        todo = np.flatnonzero((at > 0) & (self.keys[at] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+            at[todo] = self.slots[slot[todo]]
+            todo = todo[(at[todo] > 0) & (self.keys[at[todo]] != keys[todo])]
+        return at
+
+    def _seat(self, entries: np.ndarray) -> None:
+        """Give the entries, whose keys are in no slot yet, slots of their own."""
+        slot = self._slot(self.keys[entries])
+        while len(entries):
+            empty = self.slots[slot] == 0
+            self.slots[slot[empty]] = entries[empty]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _add(self, parts: list[bytes]) -> np.ndarray:
+        """New entries for these parts, in no slot yet."""
+        ids, begins, sizes = self._parts([p.decode("utf-8", "replace") for p in parts])
+        to, held = self.n + len(parts), self.held + sum(map(len, ids))
+        if to > len(self.keys):
+            room = 2 * to
+            self.keys, self.begins, self.sizes = (np.resize(x, room) for x in (self.keys, self.begins, self.sizes))
+            self.words = np.concatenate([self.words, np.zeros((4, room - self.words.shape[1]), np.uint64)], axis=1)
+        if held > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * held)
+        if ids:
+            self.flat[self.held : held] = np.concatenate(ids)
+        entries = np.arange(self.n, to, dtype=np.int32)
+        self.begins[entries], self.sizes[entries] = begins + self.held, sizes
+        self.n, self.held = to, held
+        if 2 * to > len(self.slots):
+            seated = self.slots[self.slots > 0]
+            self.bits += max(1, int(2 * to).bit_length() - self.bits)
+            self.slots = np.zeros(1 << self.bits, np.int32)
+            self._seat(seated)
+        return entries
+
+    def _entries(self, buf: np.ndarray, data: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The entries of the parts from lo to hi; buf has eight bytes more than the parts need."""
+        eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+        size = hi - lo
+        keys = eight[lo] & _LEADING[np.minimum(size, 8)]
+        long = np.flatnonzero(size > 7)
+        first, middle, last = keys[long], eight[np.minimum(lo[long] + 8, hi[long] - 8)], eight[hi[long] - 8]
+        whole = (first, middle, last, size[long].astype(np.uint64))
+        keys |= size.astype(np.uint64) << np.uint64(56)
+        keys[long] = bytefeat.mix(first * _SPREAD ^ bytefeat.mix(middle * _SPREAD ^ bytefeat.mix(last + whole[3]))) | _LONG
+        at = self._find(keys)
+        missing = np.flatnonzero(at == 0)
+        if len(missing):
+            new, first_at = np.unique(keys[missing], return_index=True)
+            own = missing[first_at]
+            entries = self._add([data[lo[k] : hi[k]] for k in own.tolist()])
+            self.keys[entries] = new
+            place = np.searchsorted(long, own)
+            is_long = size[own] > 7
+            for row, part in enumerate(whole):
+                self.words[row, entries[is_long]] = part[place[is_long]]
+            self._seat(entries)
+            at[missing] = entries[np.searchsorted(new, keys[missing])]
+        got = at[long]
+        differ = size[long] > THREE_NUMBERS
+        for row, part in enumerate(whole):
+            differ |= self.words[row, got] != part
+        odd = long[differ]
+        if len(odd):
+            parts = [data[lo[k] : hi[k]] for k in odd.tolist()]
+            fresh = list(dict.fromkeys(p for p in parts if p not in self.by_bytes))
+            self.by_bytes.update(zip(fresh, self._add(fresh).tolist()))
+            at[odd] = [self.by_bytes[p] for p in parts]
         return at
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -303,18 +399,19 @@ class WordIds:
             starts, ends = bytefeat.spans(buf, False)
             if not len(starts):
                 continue
+            if self.n > CACHE_WORDS:
+                self._forget()
             cuts = core_ends(buf, starts, ends)
             tail = cuts < ends
             place = np.arange(len(starts)) + np.cumsum(tail) - tail
             lo, hi = np.empty(len(starts) + int(tail.sum()), np.int64), np.empty(len(starts) + int(tail.sum()), np.int64)
             lo[place], hi[place] = starts, cuts
             lo[place[tail] + 1], hi[place[tail] + 1] = cuts[tail], ends[tail]
-            hashes, first, which = np.unique(bytefeat.span_hashes(buf, lo, hi), return_index=True, return_inverse=True)
             data = buf.tobytes()
-            known = self._places(hashes, lambda k: data[lo[first[k]] : hi[first[k]]])
-            sizes = self.sizes[known][which]
+            known = self._entries(np.concatenate([buf, np.zeros(8, np.uint8)]), data, lo, hi)
+            sizes = self.sizes[known]
             upto = np.concatenate([[0], np.cumsum(sizes)])
-            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begins[known][which] - upto[:-1], sizes)]
+            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begins[known] - upto[:-1], sizes)]
             edges = upto[np.searchsorted(lo, offsets)].tolist()
             for k in range(to - at):
                 if at + k not in taken:
@@ -332,11 +429,11 @@ def _tokenize(path: str, end_id: int, kind: str):
         if (path, kind) not in _encoders:
             _encoders[path, kind] = WordIds(Tokenizer.from_file(path), kind)
         end = np.array([end_id], kind).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        seq = TaskContext.get().partitionId() << 33
         for batch in batches:
             n = batch.num_rows
             ids = [own + end for own in _encoders[path, kind].encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["part", "seq", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(range(seq, seq + n), pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["doc_id", "tie", "seq", "ids"])
             seq += n
 
     return run
@@ -357,16 +454,17 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path:
     vocab = max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()) + 1
     vocab = max(vocab, end_id + 1)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
+    folder = _qualified(spark, folder)
     common.bounded_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    tie = F.xxhash64("text")
-    ranged = src.repartitionByRange(common.shuffle_width(spark), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    tokens = common.materialize(ranged.mapInArrow(_tokenize(tokenizer_path, end_id, kind), "part int, seq long, doc_id long, ids binary"), "token-ids")
+    text = F.col(text_col).cast("binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    # Ids are smaller than texts: the texts are encoded where they are read, and only ids are dealt into ranges.
+    tokens = common.materialize(src.mapInArrow(_tokenize(tokenizer_path, end_id, kind), "doc_id long, tie long, seq long, ids binary"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=vocab)
+            total += np.bincount(np.frombuffer(joined(batch.column(0)), kind), minlength=vocab)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -380,29 +478,35 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path:
         size, codes = shared.value
         store, home = _store(folder)
         store.create_dir(home, recursive=True)
-        run: list[tuple[int, int, int | None, bytes]] = []
+        part, seq = TaskContext.get().partitionId(), 0
+        run: list[tuple[int | None, bytes]] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(r[3] for r in run), kind)
-            sizes = np.array([len(r[3]) for r in run], np.int64) // np.dtype(kind).itemsize
-            name = f"ids-{run[0][0]:06d}-{run[0][1]:012d}.huf"
+            ids = np.frombuffer(b"".join(r[1] for r in run), kind)
+            sizes = np.array([len(r[1]) for r in run], np.int64) // np.dtype(kind).itemsize
+            name = f"ids-{part:06d}-{seq - len(run):012d}.huf"
             with store.open_output_stream(tmp := f"{home}/_{name}.{uuid.uuid4().hex}") as out:
-                out.write(file_bytes([r[2] for r in run], sizes, ids, size, codes))
+                out.write(file_bytes([r[0] for r in run], sizes, ids, size, codes))
             store.move(tmp, f"{home}/{name}")  # a repeated task writes the same file again
-            return pa.RecordBatch.from_pylist([{"part": run[0][0], "first_seq": run[0][1], "n_docs": len(run), "n_ids": len(ids), "name": name}], pa.schema([("part", pa.int32()), ("first_seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("name", pa.string())]))
+            return pa.RecordBatch.from_pylist([{"part": part, "first_seq": seq - len(run), "n_docs": len(run), "n_ids": len(ids), "name": name}], pa.schema([("part", pa.int32()), ("first_seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("name", pa.string())]))
 
         for batch in batches:
-            for part, seq, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if run and (held >= FILE_IDS or (part, seq) != (run[-1][0], run[-1][1] + 1)):
+            for doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if held >= FILE_IDS:
                     yield close()
                     run, held = [], 0
-                run.append((part, seq, doc, ids))
+                run.append((doc, ids))
+                seq += 1
                 held += len(ids) // np.dtype(kind).itemsize
         if run:
             yield close()
 
-    files = common.materialize(tokens.mapInArrow(write, "part int, first_seq long, n_docs long, n_ids long, name string"), "token-files")
+    # Equal rows need no order among them: seq parts them, so that any number of copies spreads over ranges.
+    order = ("doc_id", "tie", "seq")
+    ranges = max(common.shuffle_width(spark), int(counts.sum()) // (4 * FILE_IDS))
+    ranged = tokens.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    files = common.materialize(ranged.mapInArrow(write, "part int, first_seq long, n_docs long, n_ids long, name string"), "token-files")
     common.discard(tokens)
     by_part = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row a partition
     starts = np.cumsum([0, *(n for _, n in by_part)])

@@ -112,3 +112,22 @@ def test_ids_come_back(spark, make_docs, tmp_path):
     made = huffman.write_ids(spark, make_docs((1, "Some words, some more.")), f"file://{tmp_path}", PATH)
     assert huffman.read_ids(spark, made, with_ids=True).first()["ids"] == [*TOKENIZER.encode("Some words, some more.", add_special_tokens=False).ids, 1]
     assert [p.suffix for p in tmp_path.iterdir() if p.suffix != ".crc"] == [".huf"]
+
+
+def test_words_of_equal_hashes_keep_their_own_ids(monkeypatch):
+    """Thue-Morse words and their complements have equal sums of bytes times powers modulo 2^64, however odd the base."""
+    bits = [k.bit_count() & 1 for k in range(1024)]
+    a, b = ("".join(pair[x] for x in bits) for pair in ("ab", "ba"))
+    monkeypatch.setattr(huffman.bytefeat, "mix", lambda x: x * np.uint64(0))  # every part of 8 to 24 bytes collides
+    words = huffman.WordIds(TOKENIZER, "<u2")
+    text = f"{a} {b} understanding misunderstood extraordinary, a {b}! understandings {a} " + " ".join(f"sometimes{k:04d}" for k in range(300))
+    for _ in range(2):
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u2").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_copies_of_one_row_spread_over_ranges(spark, make_docs):
+    docs = make_docs(*[(7, "the same text again")] * 500, (3, "before"), (9, "behind"))
+    made = huffman.write_ids(spark, docs, huffman.common.fresh_path(spark, "copies"), PATH)
+    assert made.files.count() > 1
+    found = sorted(map(tuple, huffman.read_ids(spark, made).collect()), key=lambda r: r[1])
+    assert found == expected([(3, "before"), *[(7, "the same text again")] * 500, (9, "behind")])
