@@ -13,6 +13,8 @@ SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 #: An Arrow batch holds at most so many bytes of text, so that very long documents do not meet in one batch.
 BATCH_BYTES = 16 << 20
+#: Rows that one labelled id brings to a training sample, about.
+ROWS_OF_ID = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,17 +38,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.folder = path  # type: ignore[attr-defined]
+    return made
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by materialize, once nothing reads it any more."""
-    spark = df.sparkSession
-    home = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(home) or folder.replace("file:///", "file:/") .startswith(home.replace("file:///", "file:/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables made by materialize, once nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, df.folder)
+
+
+def folders(spark: SparkSession) -> set[str]:
+    """The operators' folders that are in the shared one now."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.getPath().toString() for x in store.listStatus(at)} if store.exists(at) else set()
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -73,15 +86,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded_sample(df: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
-    """The n rows whose key has the smallest hashes. Of a large table only about 2 n rows are ever ordered."""
-    total = df.count()
+def bounded_sample(df: DataFrame, n: int, key: str, *ties: str, total: int | None = None) -> DataFrame:
+    """The n rows whose key has the smallest hashes. Of a large table only about 2 n rows are ever ordered; total: its rows, if known."""
+    total = df.count() if total is None else total
     mark = F.pmod(F.xxhash64(key), F.lit(1 << 31))
     if total > 4 * n:
         df = df.where(mark < int((1 << 31) * 2 * n / total) + 1)
     return df.orderBy(mark, key, *ties).limit(n)
 
 
+def labelled_rows(src: DataFrame, chosen: DataFrame) -> DataFrame:
+    """src joined to chosen by doc_id; chosen has a bounded number of rows, which go to the executors.
+
+    Where an id stands on more rows of src than ROWS_OF_ID, about so many of them, by a hash of the row, are taken.
+    """
+    ids = chosen.select("doc_id").distinct()
+    often = src.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.count("*").alias("__n")).where(F.col("__n") > ROWS_OF_ID)
+    chosen = F.broadcast(chosen.join(often, "doc_id", "left"))
+    numbered = src.withColumn("__row", F.monotonically_increasing_id())
+    kept = F.col("__n").isNull() | (F.pmod(F.xxhash64("__row"), F.coalesce("__n", F.lit(1))) < ROWS_OF_ID)
+    return numbered.join(chosen, "doc_id").where(kept).drop("__row", "__n")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or with underscores behind it until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

@@ -171,7 +171,7 @@ def links(points: DataFrame, near: int = 3, shard_points: int = SHARD_POINTS, le
     shard_points = min(shard_points, total / least_shards)
     sample_points = int(min(MOST_SAMPLE, max(LEAST_SAMPLE, SHARD_SAMPLE * total / max(shard_points, 1))))
     # Chosen by hash, so that the tree is the same in every run.
-    sample = np.array([r["fp"] for r in common.bounded_sample(points.select("fp"), sample_points, "fp").collect()], np.int64).view(np.uint64)
+    sample = common.bounded_sample(points.select("fp"), sample_points, "fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     nodes = build_tree(sample, max(BLOCK_POINTS / 8, shard_points * min(1.0, len(sample) / max(total, 1))), near)
     shared = spark.sparkContext.broadcast(nodes)  # bounded by the sample
 
@@ -210,14 +210,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.folder = edges.folder  # type: ignore[attr-defined]
+    return out
 
 
 def near_duplicates(docs: DataFrame, near: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), one row per row of docs."""
     rows = common.materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     points = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
-    found = labelled(rows, points, components(links(points, near)))
+    roots = components(links(points, near))
+    found = labelled(rows, points, roots)
+    common.discard(points, roots)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

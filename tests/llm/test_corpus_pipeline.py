@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from strandql.llm import decision_list, decontaminate, mixing
 from tests.llm.test_decontaminate import plain_edits
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_jaccard import plain_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_run_equals_brute_force(spark, sample):
     docs = {r["doc_id"]: r for r in sample("documents").collect()}
     judged = {r["doc_id"]: r["kept"] for r in decision_list.quality_rules(sample("documents"), sample("labels")).collect()}
     left = {i: r for i, r in docs.items() if judged[i]}
-    roots = plain_components([(i, plain_fingerprint(r["text"], 5)) for i, r in left.items()])
+    roots = plain_roots([(i, r["text"]) for i, r in left.items()])
     left = {i: r for i, r in left.items() if roots[i] == i}
     words = lambda t: [h for _, hs, _ in decontaminate.normal_words([t]) for h in hs.tolist()]
     items = [words(r["text"]) for r in sample("benchmark").collect()]

@@ -1,11 +1,14 @@
 """The near-dedup stage against the exact Jaccard similarity of all pairs."""
 
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from strandql.llm import jaccard
-from tests.llm import test_corpus_pipeline
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,7 +58,37 @@ def test_borders_chains_and_odd_rows(spark, make_docs):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == sorted([(str(i), r) for i, r in roots.items()] + [("1", 1), ("None", 1)])
 
 
-def test_run_equals_brute_force_by_exact_jaccard(spark, sample, monkeypatch):
-    monkeypatch.setattr(test_corpus_pipeline, "plain_fingerprint", lambda text, shingle: text)
-    monkeypatch.setattr(test_corpus_pipeline, "plain_components", plain_roots)
-    test_corpus_pipeline.test_run_equals_brute_force(spark, sample)
+def test_groups_beyond_a_block(spark, make_docs, monkeypatch):
+    """A large group of different near copies, about half of whose pairs are below the similarity, in small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 8)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.sample(base, 60))) for i in range(20)]
+    roots = plain_roots(rows)
+    assert 20 < len(set(roots.values())) < 80
+    found = jaccard.near_duplicates(make_docs(*rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == roots
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_comparison_of_sets(monkeypatch, columns):
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 14))).astype(np.uint64) for _ in range(30)]
+    near = jaccard.alike(sets, list(range(20)), list(range(10, 30)), 0.5)
+    for i in range(20):
+        for j in range(20):
+            a, b = set(sets[i].tolist()), set(sets[10 + j].tolist())
+            assert near[i, j] == (not a | b or len(a & b) / len(a | b) >= 0.5)
+
+
+def test_empty_table(spark, make_docs):
+    docs = make_docs((1, "a"))
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    assert jaccard.keep_one(docs.limit(0)).columns == docs.columns
