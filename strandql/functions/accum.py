@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from strandql.functions.expr import DOUBLE, INT, LONG, Expr
 from strandql.plans.values import PipelineError, Val, literal, number
@@ -36,7 +37,31 @@ def in_order(v: Val, pos: Column, over=lambda c: c) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
-def sorted_pairs(c: Expr, arg: dict[str, Any], pos: Column, over, worst_last: bool) -> tuple[Column, T.DataType]:
+def order_key(c: Expr, sort_by: dict[str, Any], pos: Column) -> Column | None:
+    """A struct whose ascending order is that of sortBy (nulls as in a sort), ties by place; None if a key cannot be turned round."""
+    parts = []
+    for k, d in sort_by.items():
+        v = c(f"${k}")
+        if int(d) == 1:
+            parts.append(v.col)
+            continue
+        if isinstance(v.type, T.IntegralType):
+            turned = F.bitwise_not(v.col)  # descends as the number ascends, and never overflows
+        elif v.is_number:
+            turned = -v.col
+        elif v.is_bool:
+            turned = ~v.col
+        elif isinstance(v.type, T.DateType):
+            turned = F.bitwise_not(F.unix_date(v.col))
+        elif v.is_date:
+            turned = F.bitwise_not(F.unix_micros(v.col.cast("timestamp")))
+        else:
+            return None
+        parts += [v.col.isNull(), turned]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate([*parts, pos])])
+
+
+def sorted_pairs(c: Expr, arg: dict[str, Any], pos: Column, over) -> tuple[Column, T.DataType]:
     """{k: sort keys, v: output} of all rows in the order of sortBy; ties in the rows' order."""
     keys = [(c(f"${k}"), int(d)) for k, d in arg["sortBy"].items()]
     out = c(arg["output"])
@@ -54,6 +79,31 @@ def sorted_pairs(c: Expr, arg: dict[str, Any], pos: Column, over, worst_last: bo
     return F.array_sort(items, before), out.type
 
 
+#: These keep some rows of a group only.
+FIRST_FEW = ("$topN", "$bottomN", "$firstN", "$lastN")
+
+
+def first_few(df: DataFrame, c: Expr, outputs: dict[str, Any], keys: list[Column], pos: Column) -> tuple[DataFrame, dict[str, Val]]:
+    """(df with the rank of each row within its group for each such output, the outputs as aggregates of the first ranks).
+
+    A group is ranked by a sort, which spills, and only n of its rows are gathered.
+    """
+    made = {}
+    for i, (name, spec) in enumerate(outputs.items()):
+        op, arg = split(spec)
+        if op not in FIRST_FEW:
+            continue
+        last, n, rank = op in ("$bottomN", "$lastN"), int(arg["n"]), f"__rank{i}"
+        v = c(arg["output"] if "sortBy" in arg else arg["input"])
+        order = [(c(f"${k}").col, (int(d) == 1) != last) for k, d in arg.get("sortBy", {}).items()] + [(pos, not last)]
+        w = Window.partitionBy(*keys).orderBy(*[x.asc_nulls_first() if up else x.desc_nulls_last() for x, up in order])
+        df = df.withColumn(rank, F.row_number().over(w))
+        few = F.collect_list(F.when(F.col(rank) <= n, F.struct(F.col(rank).alias("o"), v.col.alias("v"))))
+        items = F.transform(F.array_sort(few), _field("v"))
+        made[name] = Val(F.reverse(items) if op == "$lastN" else items, T.ArrayType(v.type))
+    return df, made
+
+
 def _field(name: str):
     return lambda x: x.getField(name)
 
@@ -63,8 +113,11 @@ def accumulate(c: Expr, spec: Any, pos: Column, over=lambda x: x) -> Val:
     name, arg = split(spec)
     if name == "$count" or (name == "$sum" and arg == 1):
         return Val(over(F.count(F.lit(1))).cast("long"), LONG)
+    if name in ("$top", "$bottom") and (key := order_key(c, arg["sortBy"], pos)) is not None:
+        v = c(arg["output"])
+        return Val(over((F.min_by if name == "$top" else F.max_by)(F.struct(v.col.alias("v")), key))["v"], v.type)
     if name in SORTING:
-        pairs, kind = sorted_pairs(c, arg, pos, over, name.startswith("$bottom"))
+        pairs, kind = sorted_pairs(c, arg, pos, over)
         n = int(arg.get("n", 1))
         if name == "$top":
             return Val(F.get(pairs, F.lit(0))["v"], kind)

@@ -13,7 +13,10 @@ from strandql.operators.predicate import Predicate
 from strandql.operators.stages import add_value, expr, stage
 from strandql.plans.context import PART, POS, Context, frame, visible, with_pos
 from strandql.plans.values import null, PipelineError, Val, cast, common_type, resolve
-from strandql.sources.tables import cut
+from strandql.sources.tables import cut, folder_bytes
+
+#: A stored array of so many bytes at most is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def document(df: DataFrame) -> Column:
@@ -60,14 +63,26 @@ def _attach(joined: DataFrame, path: str, kind: T.DataType) -> DataFrame:
     return add_value(joined, path, Val(F.coalesce(F.col("__as"), F.array().cast(whole)), whole))
 
 
-def join_lookup(df: DataFrame, spec: dict[str, Any], ctx: Context, how: str) -> DataFrame:
-    """A $lookup whose array is unwound at once: a plain join, without building the arrays."""
+def join_lookup(df: DataFrame, spec: dict[str, Any], ctx: Context, how: str, fields: set[str] | None = None) -> DataFrame:
+    """A $lookup whose array is unwound at once, tested for emptiness or counted: a plain join, without building the arrays.
+
+    fields: those of the foreign document that later stages look at; None: all of them.
+    """
     foreign = ctx.collection(spec["from"])
     here, there, _ = matched_keys(resolve(frame(df), spec["localField"]), resolve(frame(foreign), spec["foreignField"]))
     if how in ("left_semi", "left_anti"):
         side = foreign.select(there.alias("__f")).distinct()
         return df.withColumn("__l", here).join(side, F.col("__l").eqNullSafe(F.col("__f")), how).drop("__l")
-    side = foreign.select(there.alias("__f"), document(foreign).alias("__as"))
+    if how == "count":
+        side = foreign.groupBy(there.alias("__f")).agg(F.count(F.lit(1)).cast("int").alias("__as"))
+        joined = df.withColumn("__l", here).join(side, F.col("__l").eqNullSafe(F.col("__f")), "left")
+        return add_value(joined, spec["as"], Val(F.coalesce("__as", F.lit(0)), T.IntegerType())).drop("__l", "__f", "__as")
+    side = foreign.withColumn("__f", there)
+    if fields is not None:
+        # The key's field stays, so that a document is never without any.
+        kept = fields | {spec["foreignField"].split(".")[0]}
+        foreign = foreign.select(*[F.col(f"`{c}`") for c in foreign.columns if c in kept]) if set(foreign.columns) & kept else foreign
+    side = side.select("__f", document(foreign).alias("__as"))
     joined = df.withColumn("__l", here).join(side, F.col("__l").eqNullSafe(F.col("__f")), how)
     return add_value(joined, spec["as"], Val(F.col("__as"), document_type(foreign))).drop("__l", "__f", "__as")
 
@@ -87,6 +102,21 @@ def equalities(condition: Any, names: set[str]) -> list[tuple[str, Any]]:
     return []
 
 
+def _names_variables(stage: Any, names: set[str]) -> bool:
+    if isinstance(stage, dict):
+        return any(_names_variables(v, names) for v in stage.values())
+    if isinstance(stage, (list, tuple)):
+        return any(_names_variables(v, names) for v in stage)
+    return isinstance(stage, str) and stage.startswith("$$") and stage[2:].split(".")[0] in names
+
+
+def uncorrelated(df: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    """Every row of df with the same array of all documents of made, which goes to the executors if it is small enough."""
+    kind, one = document_type(made), cut(nested(made, [], "__as"), "lookup")  # a single row
+    small = folder_bytes(one) <= BROADCAST_BYTES
+    return _attach(df.crossJoin(F.broadcast(one) if small else one), name, kind).drop("__as")
+
+
 def pipeline_lookup(df: DataFrame, spec: dict[str, Any], ctx: Context) -> DataFrame:
     """A sub-pipeline for every row: run once for every distinct binding of its variables, all bindings at once."""
     from strandql.plans.pipeline import run
@@ -97,10 +127,12 @@ def pipeline_lookup(df: DataFrame, spec: dict[str, Any], ctx: Context) -> DataFr
     if "localField" in spec:
         let["__local"] = resolve(frame(df), spec["localField"]) or null()
         stages.insert(0, {"$match": {"$expr": {"$eq": ["$" + spec["foreignField"], "$$__local"]}}})
-    if not let:
-        made = run(foreign, stages, ctx)
-        one = nested(made, [], "__as")  # a single row
-        return _attach(df.crossJoin(F.broadcast(one)), spec["as"], document_type(made)).drop("__as")
+    free = len(stages) if not let else next((i for i, s in enumerate(stages) if _names_variables(s, set(let))), len(stages))
+    if free == len(stages):
+        return uncorrelated(df, run(foreign, stages, ctx, keep_order=True), spec["as"])
+    if free:
+        # What no variable is named in runs once, for all bindings.
+        foreign, stages = run(foreign, stages[:free], ctx, keep_order=True), stages[free:]
     let = {k: Val(v.col.cast("string"), T.StringType()) if v.is_null else v for k, v in let.items()}
     parts = tuple(f"{PART}{i}" for i in range(len(let)))
     bound = {k: Val(F.col(p), v.type) for (k, v), p in zip(let.items(), parts)}
@@ -145,11 +177,19 @@ def union_with(df, spec, ctx):
     return shaped(df, left).unionByName(shaped(other, right))
 
 
+def costly(df: DataFrame) -> bool:
+    """Whether df is more than a scan with filters and columns of it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(f"{word} " in plan for word in ("Join", "Aggregate", "Sort", "Window", "Generate", "Union", "Deduplicate"))
+
+
 @stage("$facet")
 def facet(df, spec, ctx):
     from strandql.plans.pipeline import run
 
     out = None
+    if len(spec) > 1 and costly(df):
+        df = cut(with_pos(df), "facet")  # made once for all
     for name, stages in spec.items():
         made = with_pos(run(df, stages, ctx, keep_order=True))
         one = nested(made, [], name)  # an aggregate without keys: one row

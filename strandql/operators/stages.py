@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandql.functions.accum import accumulate, needs_order, split
+from strandql.functions.accum import FIRST_FEW, accumulate, first_few, needs_order, split
 from strandql.functions.expr import Expr
 from strandql.operators import geo, vector
 from strandql.operators.predicate import Predicate
 from strandql.plans.context import POS, Context, frame, select, visible, with_pos, without_pos
 from strandql.plans.values import PipelineError, Val, null, put, resolve, struct_of, truthy, without
+from strandql.sources.tables import cut
 
 STAGES: dict[str, Callable[[DataFrame, Any, Context], DataFrame]] = {}
 
@@ -209,8 +210,19 @@ def _pos_for(df: DataFrame, outputs: dict[str, Any]) -> tuple[DataFrame, Column]
     return df, F.lit(None).cast("long")
 
 
-def aggregates(c: Expr, outputs: dict[str, Any], pos: Column) -> list[Column]:
-    return [accumulate(c, o, pos).col.alias(name) for name, o in outputs.items()]
+def aggregates(c: Expr, outputs: dict[str, Any], pos: Column, made: dict[str, Val] | None = None) -> list[Column]:
+    return [(made[name] if made and name in made else accumulate(c, o, pos)).col.alias(name) for name, o in outputs.items()]
+
+
+def grouped(df: DataFrame, c: Expr, outputs: dict[str, Any], keys: dict[str, Column], pos: Column, *more: Column) -> DataFrame:
+    """The groups of the keys (by the names of their columns) with their outputs, and more aggregates before these."""
+    made: dict[str, Val] = {}
+    if any(split(o)[0] in FIRST_FEW for o in outputs.values()):
+        df = df.withColumns(keys)
+        keys = {k: F.col(k) for k in keys}
+        df, made = first_few(df, c, outputs, list(keys.values()), pos)
+    aggs = [*more, *aggregates(c, outputs, pos, made)]
+    return df.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
 
 
 @stage("$group")
@@ -221,23 +233,21 @@ def group(df, spec, ctx):
     df, pos = _pos_for(df, outputs)
     c = expr(df, ctx)
     key = c(spec["_id"])
-    aggs = aggregates(c, outputs, pos)
-    parts = ctx.part_columns()
+    parts = {p: F.col(p) for p in ctx.parts}
+    own = [F.col(f"`{k}`") for k in outputs]
     if key.is_null and parts:
-        made = df.groupBy(*parts).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
-        return made.select(F.lit(None).cast("string").alias("_id"), *[F.col(f"`{k}`") for k in outputs], *parts)
+        return grouped(df, c, outputs, parts, pos).select(F.lit(None).cast("string").alias("_id"), *own, *parts)
     if key.is_null:
         # A plain aggregate has a row even without input; a group has none.
-        made = df.agg(F.count(F.lit(1)).alias("__n"), *aggs).filter("__n > 0")
-        return made.select(F.lit(None).cast("string").alias("_id"), *[F.col(f"`{k}`") for k in outputs])
+        made = grouped(df, c, outputs, {}, pos, F.count(F.lit(1)).alias("__n")).filter("__n > 0")
+        return made.select(F.lit(None).cast("string").alias("_id"), *own)
     if key.is_struct and isinstance(spec["_id"], dict) and not any(k.startswith("$") for k in spec["_id"]) and spec["_id"]:
         # Grouped by the fields themselves, so that each can be pruned and hashed as what it is.
         keys = {f"__k{i}": c(e).col for i, e in enumerate(spec["_id"].values())}
-        made = df.groupBy(*parts, *[v.alias(k) for k, v in keys.items()]).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+        made = grouped(df, c, outputs, {**parts, **keys}, pos)
         made = made.withColumn("_id", F.struct(*[F.col(k).alias(n) for k, n in zip(keys, spec["_id"])]))
-        return made.select("_id", *[F.col(f"`{k}`") for k in outputs], *parts)
-    made = df.groupBy(*parts, key.col.alias("_id")).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
-    return made.select("_id", *[F.col(f"`{k}`") for k in outputs], *parts)
+        return made.select("_id", *own, *parts)
+    return grouped(df, c, outputs, {**parts, "__key": key.col}, pos).select(F.col("__key").alias("_id"), *own, *parts)
 
 
 @stage("$sortByCount")
@@ -260,7 +270,7 @@ def bucket(df, spec, ctx):
     for i in range(len(bounds) - 2, -1, -1):
         place = F.when((x >= bounds[i]) & (x < bounds[i + 1]), F.lit(i)).otherwise(place)
     df = df.withColumn("__b", place if "default" not in spec else F.coalesce(place, F.lit(-1)))
-    made = df.filter(F.col("__b").isNotNull()).groupBy("__b").agg(*aggregates(c, outputs, pos))
+    made = grouped(df.filter(F.col("__b").isNotNull()), c, outputs, {"__b": F.col("__b")}, pos)
     # Buckets without rows are there, with what the accumulators give for no row.
     nothing = without_pos(df).limit(0).withColumn(POS, F.lit(0).cast("long")).agg(*aggregates(c, outputs, F.col(POS)))
     names = list(outputs)
@@ -283,27 +293,59 @@ def bucket_auto(df, spec, ctx):
     if not isinstance(buckets, int) or buckets < 1:
         raise PipelineError("$bucketAuto takes a positive number of buckets")
     df = with_pos(df)
+    named = named_fields([spec["groupBy"], outputs])
+    if named is not None:
+        df = df.select(*[F.col(f"`{n}`") for n in df.columns if n in named or n not in visible(df)])
     v = expr(df, ctx)(spec["groupBy"])
     if not v.is_number:
         v = Val(F.lit(None).cast("double"), T.DoubleType())
     df = df.withColumn("__v", v.col).filter(F.col("__v").isNotNull())
-    # Ranks of a global order without one task for all rows: positions within each sorted partition, and the sizes of
-    # the partitions before (as many rows as there are partitions).
-    ordered = df.orderBy("__v", POS).withColumn("__p", F.spark_partition_id())
-    ordered = ordered.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__v", POS)))
-    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    ranked = ordered.join(F.broadcast(sizes), "__p")
-    place = F.floor((F.col("__base") + F.col("__i") - 1) / F.ceil(F.col("__n") / buckets))
-    ranked = ranked.withColumn("__b", place)
+    # Ranks of a global order without one task for all rows. The sorted rows are written once with their places: were
+    # they planned twice, two sorts could cut their ranges apart.
+    ranked, total = ranked_rows(df, [F.col("__v"), F.col(POS)])
+    ranked = ranked.withColumn("__b", F.floor((F.col("__rank") - 1) / F.lit(max(1, -(-total // buckets)))))
     c = expr(df.drop("__v"), ctx)
-    made = ranked.groupBy("__b").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *aggregates(c, outputs, F.col(POS)))
+    made = grouped(ranked, c, outputs, {"__b": F.col("__b")}, F.col(POS), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     after = Window.orderBy("__b")
     ids = F.struct(F.col("__lo").cast("double").alias("min"), F.coalesce(F.lead("__lo").over(after), F.col("__hi")).cast("double").alias("max"))
     return made.withColumn("_id", ids).orderBy("__b").select("_id", *[F.col(f"`{n}`") for n in outputs])
 
 
+def named_fields(spec: Any) -> set[str] | None:
+    """The fields that expressions name, by their first part; None if they take the whole document."""
+    if isinstance(spec, dict):
+        # The keys of $top and its like are fields too.
+        found: list[set[str] | None] = [{k.split(".")[0] for k in spec.get("sortBy") or {}} if isinstance(spec.get("sortBy"), dict) else set()]
+        found += [named_fields(v) for v in spec.values()]
+    elif isinstance(spec, (list, tuple)):
+        found = [named_fields(v) for v in spec]
+    elif isinstance(spec, str) and spec.startswith("$$"):
+        return None if spec.split(".")[0] in ("$$ROOT", "$$CURRENT") else set()
+    else:
+        return {spec[1:].split(".")[0]} if isinstance(spec, str) and spec.startswith("$") else set()
+    return None if any(x is None for x in found) else set().union(*found)
+
+
+def sorted_ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """df sorted, written once, with __p (the number of the range that a row is in, ascending) and __i (its place there, from 1)."""
+    number = "__number"
+    stored = cut(df.orderBy(*keys).withColumn(number, F.monotonically_increasing_id()), "sorted")
+    # The number is the partition's, shifted by 33 bits, and the row's in it.
+    return stored.withColumn("__p", F.shiftright(number, 33)).withColumn("__i", F.col(number).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(number)
+
+
+def ranked_rows(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
+    """(df with __rank, the place of each row in the order of all, from 1; the number of rows)."""
+    rows = sorted_ranges(df, keys)
+    sizes = sorted((r["__p"], r["n"]) for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before = [0]
+    for _, n in sizes:
+        before.append(before[-1] + n)
+    base = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "__p long, __base long")
+    ranked = rows.join(F.broadcast(base), "__p").withColumn("__rank", F.col("__base") + F.col("__i"))
+    return ranked.drop("__p", "__i", "__base"), before[-1]
+
+
 @stage("$sample")
 def sample(df, spec, ctx):
     return df.orderBy(F.rand(spec.get("seed"))).limit(int(spec["size"]))

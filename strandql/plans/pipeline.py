@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from strandql.operators import joins, stages, windows  # noqa: F401 - they register their stages
 from strandql.operators.stages import STAGES
 from strandql.plans.context import MOST_STAGES, Context, is_hidden, with_pos, without_pos
-from strandql.plans.rewrite import needs_positions, rewrite
+from strandql.plans.rewrite import needs_positions, rewrite, subfields
 from strandql.plans.values import PipelineError
 
 WRITES = ("$out", "$merge")
@@ -40,7 +40,7 @@ def run(df: DataFrame, pipeline: list[dict[str, Any]], ctx: Context, keep_order:
     for i, s in enumerate(todo):
         name, spec = next(iter(s.items()))
         if name == "$joinLookup":
-            df = joins.join_lookup(df, spec["spec"], ctx, spec["how"])
+            df = joins.join_lookup(df, spec["spec"], ctx, spec["how"], subfields(todo[i + 1 :], spec["spec"]["as"]))
             continue
         df = STAGES[name](df, spec, ctx)
         rest = todo[i + 1 :]
