@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+_P = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
 
@@ -18,7 +17,16 @@ _OTHER = np.ones(256, bool)
 _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
 _OTHER[128:] = False
 
-_powers: list[np.ndarray] = []
+#: First bytes of the characters of scripts that write no spaces (Han, kana, Thai, Lao, Khmer, Burmese, CJK beyond U+FFFF):
+#: by the first byte alone, or by the first two.
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xEA] = True
+_ALONE_TWO = np.zeros(1 << 16, bool)
+_ALONE_TWO[[0xE0B8, 0xE0B9, 0xE0BA, 0xE0BB, 0xE180, 0xE181, 0xE182, 0xE19E, 0xE19F, 0xF0A0, 0xF0A1, 0xF0A2, 0xF0A3, 0xF0A4, 0xF0A5, 0xF0A6, 0xF0A7, 0xF0A8, 0xF0A9, 0xF0AA, 0xF0AB, 0xF0AC, 0xF0AD, 0xF0AE, 0xF0AF, 0xF0B0, 0xF0B1, 0xF0B2]] = True
+#: The leading bytes of a number of eight, by how many of them belong to a span.
+_LEADING = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,29 +38,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK)
-        made = []
-        for base in (_P, _P_INV):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
-
-
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, one past the last, their bytes each followed by a newline, offsets of the texts)."""
+def chunks(texts: list[bytes | None], limit: int = CHUNK, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, one past the last, their bytes each followed by a newline, offsets of the texts); null is empty. lower: A-Z as a-z."""
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) + 1 <= limit):
-            size += len(texts[to]) + 1
+        while to < len(texts) and (to == at or size + len(texts[to] or b"") + 1 <= limit):
+            size += len(texts[to] or b"") + 1
             to += 1
-        lengths = np.fromiter((len(t) + 1 for t in texts[at:to]), np.int64, to - at)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        yield at, to, np.frombuffer(b"\n".join(texts[at:to]) + b"\n", np.uint8), offsets
+        own = [t or b"" for t in texts[at:to]]
+        offsets = np.cumsum([0, *(len(t) + 1 for t in own)])
+        whole = b"\n".join([*own, b""])
+        yield at, to, np.frombuffer(whole.lower() if lower else whole, np.uint8), offsets
         at = to
 
 
@@ -63,25 +60,68 @@ def spans(buf: np.ndarray, normalised: bool) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def single_characters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words, with each character of a script that writes no spaces a word of its own."""
+    lead = buf >= 0xE0
+    if not lead.any():
+        return starts, ends
+    at = np.flatnonzero(lead[:-1])
+    at = at[_ALONE[buf[at]] | _ALONE_TWO[buf[at].astype(np.int64) << 8 | buf[at + 1]]]
+    if not len(at):
+        return starts, ends
+    own = np.searchsorted(starts, at, "right") - 1
+    to = np.minimum(at + np.where(buf[at] >= 0xF0, 4, 3), ends[own])
+    inner = to < ends[own]
+    starts = np.unique(np.concatenate([starts, at, to[inner]]))
+    closes = np.unique(np.concatenate([ends, to, at]))
+    return starts, closes[np.searchsorted(closes, starts, "right")]
 
 
-def inner_grams(buf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the byte n-grams of this size that have no white space inside but at either end."""
-    n = len(buf) - size + 1
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever the span stands; spans of up to eight bytes never share one."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _P)
+    out = mix(out ^ (eight[starts] & _LEADING[np.minimum(size, 8)]) * _P)
+    left, done = np.flatnonzero(size > 8), 8
+    while len(left) and done < LONG_SPAN:
+        lane = eight[starts[left] + done] & _LEADING[np.minimum(size[left] - done, 8)]
+        out[left] = mix(out[left] ^ lane * _P)
+        done += 8
+        left = left[size[left] > done]
+    if len(left):
+        import xxhash
+
+        for k in left.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), 9)
+    return out
+
+
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of every character and the end, a number for each character: its bytes)."""
+    inner = (buf & 0xC0) == 0x80
+    if not inner.any():
+        return np.arange(len(buf) + 1), buf.astype(np.uint64)
+    starts = np.append(np.flatnonzero(~inner), len(buf))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    return starts, eight[starts[:-1]] & _LEADING[np.minimum(np.diff(starts), 4)]
+
+
+def inner_grams(buf: np.ndarray, size: int, chars: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, one past the last, hash) of the n-grams of so many characters that have white space at their ends only."""
+    starts, value = characters(buf) if chars is None else chars
+    n = len(value) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    gap = _SPACE[buf]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gap = _SPACE[buf[starts[:-1]]]
+    value = np.where(gap, np.uint64(32), value)
     bad = np.zeros(n, bool)
-    value = np.zeros(n, np.uint64)
-    for k in range(size):
-        part = buf[k : k + n]
-        value = (value << np.uint64(8)) | np.where(gap[k : k + n], np.uint8(32), part).astype(np.uint64)
-        if 0 < k < size - 1:
-            bad |= gap[k : k + n]
+    for k in range(1, size - 1):
+        bad |= gap[k : k + n]
     at = np.flatnonzero(~bad)
-    return at, mix(value[at] * _P + np.uint64(size))
+    key = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        key = key * _P + value[at + k]
+    return starts[at], starts[at + size], mix(key)

@@ -1,18 +1,19 @@
 """Benchmark decontamination: a CGK random-walk embedding, repeated bit-sampling LSH, exact edit verification.
 
-Words are runs of letters and digits, lower-cased. The CGK embedding of a window reads its words with a pointer:
+Words are runs of letters and digits, lower-cased; in scripts that write no spaces each character is one. The CGK embedding of a window reads its words with a pointer:
 step j emits the word at the pointer and moves on if a random function of (j, word) says so. Two walks that share
 the random function fall back into step after an edit, so windows at a small edit distance get embeddings at a small
 Hamming distance. A key is the hash of a few sampled positions of the leading steps; several samples are taken from
 a walk, and walks are repeated with other random functions until simulated leaks with the largest edit distance
-allowed are found at the target recall for the items of every length by itself; if that takes too many, it is an error. Every offset of an item is indexed, so a document needs a window at every
-STRIDE-th word only. Whatever a key brings up is verified: the least word edit distance between the item and any
-window of the document around the place must be at most max_edit of the item's words.
-
-Documents are never shuffled. Items go to the executors in blocks of bounded size, one pass over the documents a
-block. Defined cases: null and empty texts match nothing; items of fewer than MIN_WORDS words (null and empty ones
-too) are no evidence and never match; repeated rows are judged one by one; null ids stay null; an empty table on
-either side gives no match; ties between places of one item keep the least distance.
+allowed are found at the target recall for the items of every length by itself; if that takes too many, it is an error. Every offset of an item is indexed, so a document needs a window at every few words only (the tier's stride). Whatever a key brings up is verified: the least word edit distance between the item and any
+window of the document must be at most max_edit of the item's words. Items of fewer than MIN_WORDS words, of which
+nothing may differ, are found by the hashes of their words in a row.
+
+Documents are never shuffled. Items of the same words are one item, that of the smallest id; item_classes has them all.
+Items go to the executors in blocks of bounded size; one pass over the documents takes PASS_BLOCKS of them. Defined
+cases: null and empty texts match nothing, and items without a word are never matched; very long texts are matched
+whole; repeated rows are judged one by one; null ids stay null; an empty table on either side gives no match; of the
+places of one item the least distance is kept; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from strandql.llm import bytefeat, common
 
 MIN_WORDS = 4
 #: Words of items in a block; its keys take about 4 MB a walk (a longer item has a block of its own).
-BLOCK_WORDS = 1 << 16
+BLOCK_WORDS, PASS_BLOCKS = 1 << 16, 8
 SAMPLES = 4
 MAX_WALKS = 24
 #: Simulated leaks of a length; lengths from WHOLE_LENGTHS words on are taken together by quarters of a power of two.
@@ -55,7 +56,7 @@ def normal_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.
     """(number of the first text, hashes of the words of some texts, offsets of the texts in them)."""
     data = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     for at, _, buf, offsets in bytefeat.chunks(data):
-        starts, ends = bytefeat.spans(buf, True)
+        starts, ends = bytefeat.single_characters(buf, *bytefeat.spans(buf, True))
         yield at, bytefeat.span_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
 
 
@@ -103,23 +104,40 @@ def least_edits(item: np.ndarray, words: np.ndarray, most: int) -> int:
     return min(int(row.min()), most + 1)
 
 
+def run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A key of each n words in a row."""
+    keys = np.full(max(len(words) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        keys = bytefeat.mix((keys ^ words[k : len(words) - n + 1 + k]) * _PRIME)
+    return keys
+
+
 def length_class(words: int) -> int:
     return words if words < WHOLE_LENGTHS else WHOLE_LENGTHS + int(4 * np.log2(words / WHOLE_LENGTHS))
 
 
 @dataclass
 class ItemBlock:
-    """Some items and their keys, for every tier that has items: (tier, walks, sorted keys, item and offset of each, filter)."""
+    """Some items and their keys, for every tier that has items: (tier, walks, sorted keys, item and offset of each, filter).
+
+    short: for every number of words below MIN_WORDS that items have, the sorted keys of these items and their numbers.
+    """
 
     ids: list
     words: list[np.ndarray]
     max_edit: float
     tiers: list[tuple] = field(default_factory=list)
+    short: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def allowed(self, item: int) -> int:
         return int(self.max_edit * len(self.words[item]) + 1e-9)
 
     def build(self, target_recall: float) -> ItemBlock:
+        for n in range(1, MIN_WORDS):
+            if own := [i for i, w in enumerate(self.words) if len(w) == n]:
+                keys = np.concatenate([run_keys(self.words[i], n) for i in own])
+                order = np.argsort(keys)
+                self.short.append((n, keys[order], np.array(own)[order]))
         for n, tier in enumerate(TIERS):
             top = TIERS[n - 1].least if n else np.inf
             own = [i for i, w in enumerate(self.words) if tier.least <= len(w) < top]
@@ -193,8 +211,23 @@ def candidates(index: tuple, hashes: np.ndarray, offsets: np.ndarray) -> set[tup
     return found
 
 
+def short_leaks(block: ItemBlock, hashes: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+    """(text, item) of the items of fewer than MIN_WORDS words that a text holds."""
+    found = set()
+    for n, keys, items in block.short:
+        own = run_keys(hashes, n)
+        first = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        at = np.flatnonzero(keys[first] == own)
+        text = np.searchsorted(offsets, at, "right") - 1
+        inside = at + n <= offsets[text + 1]
+        for t, i, p in zip(text[inside].tolist(), items[first[at[inside]]].tolist(), at[inside].tolist()):
+            if (t, i) not in found and (hashes[p : p + n] == block.words[i]).all():
+                found.add((t, i))
+    return found
+
+
 def leaks(block: ItemBlock, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
-    """(number of the text, number of the item, edit distance) of every item that a text holds."""
+    """(number of the text, number of the item, least edit distance) of every item that a text holds."""
     for at, hashes, offsets in normal_words(texts):
         places: dict[tuple[int, int], list[int]] = {}
         for index in block.tiers:
@@ -210,41 +243,65 @@ def leaks(block: ItemBlock, texts: list[str | None]) -> Iterator[tuple[int, int,
                     margin = 2 * most + 2
                     best = min(best, least_edits(item, words[max(0, lo - margin) : max(0, p + len(item) + margin)], most))
                     lo = after
-            if best <= most:
-                yield at + t, i, best
-
-
-def item_blocks(items: DataFrame, max_edit: float, target_recall: float, id_col: str, text_col: str) -> Iterator[ItemBlock]:
-    """The items that can match, in blocks of bounded size, built one after the other on the driver."""
-    ids, words, total = [], [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        for _, hashes, _ in normal_words([row["t"]]):
-            if len(hashes) < MIN_WORDS:
-                continue
-            if ids and total + len(hashes) > BLOCK_WORDS:
-                yield ItemBlock(ids, words, max_edit).build(target_recall)
-                ids, words, total = [], [], 0
-            ids.append(row["i"])
-            words.append(hashes)
-            total += len(hashes)
+            if best <= most:  # it may stand with fewer edits where no key led
+                yield at + t, i, best and least_edits(item, words, best)
+        for t, i in sorted(short_leaks(block, hashes, offsets)) if block.short else ():
+            yield at + t, i, 0
+
+
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id and words (the hashes of its words) of every item that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: list[bytes] = []
+            for _, hashes, offsets in normal_words(batch.column(1).to_pylist()):
+                words += [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["item_id", "words"])
+            yield made.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
+
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id long, words binary")
+
+
+def item_classes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, same_as: for every item with a word the smallest id of the items of the same words, by which leaks name it."""
+    own = item_words(items, id_col, text_col)
+    return own.join(own.groupBy("words").agg(F.min("item_id").alias("same_as")), "words").select("item_id", "same_as")
+
+
+def item_passes(items: DataFrame, max_edit: float, target_recall: float, id_col: str, text_col: str) -> Iterator[list[ItemBlock]]:
+    """The different items in blocks of bounded size, so many blocks at a time, built one after the other on the driver."""
+    made, ids, words, total = [], [], [], 0
+    one = item_words(items, id_col, text_col).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    for row in one.orderBy("item_id", "words").toLocalIterator():
+        own = np.frombuffer(row["words"], np.uint64)
+        if ids and total + len(own) > BLOCK_WORDS:
+            made.append(ItemBlock(ids, words, max_edit).build(target_recall))
+            ids, words, total = [], [], 0
+            if len(made) == PASS_BLOCKS:
+                yield made
+                made = []
+        ids.append(row["item_id"])
+        words.append(own)
+        total += len(own)
     if ids:
-        yield ItemBlock(ids, words, max_edit).build(target_recall)
+        yield [*made, ItemBlock(ids, words, max_edit).build(target_recall)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.2, target_recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance (words), item_words: a row for each item that a row of docs holds."""
+    """doc_id, item_id, distance (words), item_words: a row for each different item that a row of docs holds."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shape = "doc_id long, item_id long, distance int, item_words int"
     out = spark.createDataFrame([], shape)
-    for block in item_blocks(items, max_edit, target_recall, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)  # BLOCK_WORDS bounds it
+    for blocks in item_passes(items, max_edit, target_recall, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast(blocks)  # BLOCK_WORDS and PASS_BLOCKS bound it
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own, ids = shared.value, batch.column(0).to_pylist()
-                rows = [(ids[t], own.ids[i], d, len(own.words[i])) for t, i, d in leaks(own, batch.column(1).to_pylist())]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                rows = [(ids[t], own.ids[i], d, len(own.words[i])) for own in shared.value for t, i, d in leaks(own, texts)]
                 columns = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "item_words"])
 
@@ -257,14 +314,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = 0.
     spark = docs.sparkSession
     common.bounded_batches(spark)
     place = docs.columns.index(text_col)
-    for block in item_blocks(items, max_edit, target_recall, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+    for blocks in item_passes(items, max_edit, target_recall, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for t, _, _ in leaks(shared.value, batch.column(place).to_pylist()):
-                    keep[t] = False
+                keep, texts = np.ones(batch.num_rows, bool), batch.column(place).to_pylist()
+                for own in shared.value:
+                    for t, _, _ in leaks(own, texts):
+                        keep[t] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

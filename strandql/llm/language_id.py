@@ -10,7 +10,8 @@ Counts are kept by (language, trigram bucket), (declared, language), (suffix, la
 language); only the first, of fixed size, reaches the driver. Defined cases: null or empty html has no text and no
 declaration, so the other evidence decides; a null or odd url has the host "" and the suffix ""; documents without text
 or language teach nothing; without any labelled document the language is null; repeated rows are judged one by one;
-ties go to the language first in code-point order; other columns are not read.
+ties go to the language first in code-point order; very long pages and texts are read whole; more than MOST_LANGUAGES
+languages are an error; an empty table of pages gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ EVIDENCE_COUNT, HOST_COUNT = 1.0, 5.0
 def trigrams(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, bucket of every trigram, number of its text counted from the first)."""
     for at, to, buf, offsets in bytefeat.chunks(texts):
-        place, gram = bytefeat.inner_grams(buf, 3)
+        place, end, gram = bytefeat.inner_grams(buf, 3)
         own = np.searchsorted(offsets, place, "right") - 1
-        whole = place + 3 <= offsets[own + 1]
+        whole = end <= offsets[own + 1]
         yield at, to, (gram[whole] % np.uint64(BUCKETS)).astype(np.int64), own[whole]
 
 
@@ -54,19 +55,19 @@ def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 found = np.bincount(which * BUCKETS + buckets, minlength=len(codes) * BUCKETS).reshape(len(codes), BUCKETS)
                 for lang, k in codes.items():
                     seen[lang] = seen.get(lang, 0) + found[k]
-            if len(seen) > MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
         for lang, counts in seen.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
     src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    rows = src.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x BUCKETS
-    langs = sorted({r["lang"] for r in rows})
+    langs = sorted(r["lang"] for r in src.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = src.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS
     counts = np.full((len(langs), BUCKETS), 0.5)
     number = {lang: k for k, lang in enumerate(langs)}
-    for r in rows:
-        counts[number[r["lang"]], r["bucket"]] += r["n"]
+    at = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
+    counts[at, rows.column("bucket").to_numpy()] += rows.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
 
 
@@ -106,7 +107,6 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), batch.column(5), pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(np.where(clear, best, -1), pa.int32())], ["page_id", "host", "site", "suffix", "declared", "likely", "vote"])
 
     src = page_evidence(pages, id_col, url_col, html_col).select("page_id", "host", "site", "suffix", "text", "declared")
-    src = src.select("page_id", "host", "site", "suffix", "text", "declared")
     rows = common.materialize(src.mapInArrow(run, "page_id long, host string, site string, suffix string, declared string, likely array<double>, vote int"), "pages")
     votes = rows.where("vote >= 0")
     tally = [F.sum((F.col("vote") == k).cast("double")) for k in range(width)]

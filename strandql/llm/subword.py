@@ -1,14 +1,16 @@
 """Supervised subword embeddings for text quality: hashed word and character n-gram vectors, averaged, softmax.
 
-Each word, each n-gram of GRAMS bytes within or at the edge of a word, and each word that repeats its predecessor is
+Each word, each n-gram of GRAMS characters within or at the edge of a word, and each word that repeats its predecessor is
 hashed to one of BUCKETS learned vectors; a document is the mean of its features' vectors; a softmax layer gives the
 class. Training is numpy stochastic gradient descent on the driver over at most TRAIN_DOCS labelled rows and
 TRAIN_BYTES of their (whole-text) feature counts. Scores need only the vectors' products with the output layer, one
 number a bucket, so every whole text is scored in one pass without a shuffle.
 
-Defined cases: null and empty texts have no feature and get the score of the output bias; labels that are null or
-not 0/1, and labels without a document, are ignored; a document labelled twice counts twice; repeated rows are
-scored one by one; without labels every score is 0.5; a null doc_id belongs to the fold of the empty text.
+Defined cases: null and empty texts have no feature and get the score of the output bias; very long texts are read
+whole; labels that are null or not 0/1, and labels without a document, are ignored; a document labelled twice counts
+twice; rows of one labelled id beyond common.ROWS_OF_ID are thinned to about so many; repeated rows are scored one by
+one; ties have no order to decide; without labels every score is 0.5; a null doc_id belongs to the fold of the empty
+text; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +40,11 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         owner = np.searchsorted(offsets, starts, "right") - 1
         again = np.flatnonzero((words[1:] == words[:-1]) & (owner[1:] == owner[:-1])) + 1
         buckets, owners = [words % np.uint64(BUCKETS - 1) + np.uint64(1), np.zeros(len(again), np.uint64)], [owner, owner[again]]
+        chars = bytefeat.characters(buf)
         for size in GRAMS:
-            place, gram = bytefeat.inner_grams(buf, size)
+            place, end, gram = bytefeat.inner_grams(buf, size, chars)
             own = np.searchsorted(offsets, place, "right") - 1
-            whole = place + size <= offsets[own + 1]
+            whole = end <= offsets[own + 1]
             buckets.append(gram[whole] % np.uint64(BUCKETS - 1) + np.uint64(1))
             owners.append(own[whole])
         yield at, to, np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
@@ -92,9 +95,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id")) != held_out_fold))
-    # A fixed number of rows, chosen by the hash of the id: so bounded, they can be broadcast.
     chosen = common.bounded_sample(own, TRAIN_DOCS, "doc_id", "label")
-    labelled = src.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(feature_counts, "label int, counts binary")
+    labelled = common.labelled_rows(src, chosen).select("label", "text").mapInArrow(feature_counts, "label int, counts binary")
     rows, held = [], 0
     ready = common.materialize(labelled, "labelled")
     for row in ready.orderBy(F.xxhash64("counts")).toLocalIterator():
