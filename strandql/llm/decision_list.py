@@ -9,7 +9,9 @@ whose pruned precision holds, removes what they cover and goes on. The list come
 Cells are collected from at most TRAIN_ROWS labelled rows. Defined cases: null texts have no words; empty and short
 texts fail the base rule; labels that are null, not 0/1 or without a document are ignored; a document labelled twice
 counts twice; repeated rows are judged one by one; without labels (or bad ones) the list is empty and every row that
-passes the base rule is kept; an empty table gives an empty result; other columns are not read.
+passes the base rule is kept; of conditions of equal gain the first rate and the lowest threshold win; very long texts
+are counted whole; rows of one labelled id beyond common.ROWS_OF_ID are thinned to about so many; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -152,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).withColumn("fold", common.fold_of(F.col("doc_id")))
     if held_out_fold is not None:
         own = own.where(F.col("fold") != held_out_fold)
-    chosen = F.broadcast(common.bounded_sample(own, TRAIN_ROWS, "doc_id", "label"))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    chosen = common.bounded_sample(own, TRAIN_ROWS, "doc_id", "label")
+    src = common.labelled_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), chosen)
     known = common.materialize(text_counts(src, "label", "fold").select("label", "fold", *RATES), "labelled")
     edges = known.agg(*[F.percentile_approx(r, QUANTILES, 10_000).alias(r) for r in RATES]).first()
     edges = [sorted(set(edges[r] or [])) for r in RATES]
