@@ -8,13 +8,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from strandql.queries import QUERIES, query, read
+from strandql.queries import QUERIES, read
 
 HEADLINE = ["pricing_summary", "group_sum_avg", "group_null_id", "match_range", "match_expr", "sort_two_keys", "topk", "count_filtered", "lookup_nest_size", "lookup_unwind_inner", "three_way_revenue", "unwind_tokens", "group_addtoset_size", "win_running_sum", "bucket_auto", "vector_cosine_topk", "facet_multi", "events_hourly_group"]
 
-query("sort_two_keys", "lineitem", [{"$sort": {"l_shipdate": 1, "l_extendedprice": -1}}, {"$project": {"l_orderkey": 1, "l_shipdate": 1, "l_extendedprice": 1}}], None)
-query("count_filtered", "lineitem", [{"$match": {"l_quantity": {"$gt": 25}}}, {"$count": "n"}], None)
-
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")

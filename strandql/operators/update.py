@@ -13,7 +13,7 @@ from strandql.operators.predicate import Predicate, no
 from strandql.plans.context import Context, frame
 from strandql.plans.values import PipelineError, Val, cast, common_type, equal, literal, null, put, resolve, without
 
-#: The order in which the operators of one document apply.
+# The order in which the operators of one document apply.
 ORDER = ("$set", "$setOnInsert", "$unset", "$inc", "$mul", "$min", "$max", "$currentDate", "$rename", "$addToSet", "$push", "$pull", "$pop", "$bit")
 PIPELINE = {"$set", "$addFields", "$unset", "$project", "$replaceRoot", "$replaceWith"}
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandql.functions import collation
-from strandql.operators import text
+from strandql.operators import text, vector
 from strandql.operators.update import Update
 from strandql.operators.validate import Schema
 from strandql.plans.context import Context
 from strandql.plans.pipeline import aggregate
 from strandql.sources import conflicts
-from strandql.sources.database import merge_frames
+from strandql.sources.database import Database, merge_frames
 from strandql.streaming import oplog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,37 +201,63 @@ query("geo_near_filter", "customer", [_PLACE, {"$match": {"location": {"$near":
 query("geo_polygon", "customer", [_PLACE, {"$match": {"location": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": [[[0.05, 0.0], [60.05, 0.0], [60.05, 80.0], [0.05, 80.0], [0.05, 0.0]]]}}}}}, {"$match": {"$expr": {"$lt": [{"$arrayElemAt": ["$location.coordinates", 1]}, 79]}}}, {"$project": {"c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE ({_LON}) >= 0.05 AND ({_LON}) <= 60.05 AND ({_LAT}) >= 0 AND ({_LAT}) < 79")
 
 
+# Words are runs of letters, marks, digits and connectors of all scripts, in the pattern as in the SQL.
 @custom("text_tfidf", r"""
-WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\bthe\b')) AS a, len(regexp_extract_all(lower(text), '\blicense\b')) AS b FROM documents WHERE lang = 'en'),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS words FROM documents),
+c AS (SELECT doc_id, coalesce(len(list_filter(words, lambda x: x = 'the')), 0) AS a, coalesce(len(list_filter(words, lambda x: x = 'license')), 0) AS b FROM w),
 s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
 SELECT doc_id, round((1 + ln(a)) * (1 + ln(n / da)) + (1 + ln(b)) * (1 + ln(n / db)), 6) AS score FROM c, s WHERE a > 0 AND b > 0""")
 def _(spark, sf_dir):
-    found = text.search(read(spark, sf_dir, "documents").filter("lang = 'en'"), "the license", ["text"])
+    found = text.search(read(spark, sf_dir, "documents"), "the license", ["text"])
     return found.select("doc_id", F.round("_textScore", 6).alias("score"))
 
 
-# All languages; DuckDB's \b knows ASCII only, so a test holds this one against brute force instead of SQL.
-@custom("text_tfidf_all")
+# Every vector whose id is divisible by 20 against all vectors.
+@custom("vector_neighbours", """
+WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+s AS (SELECT query, vec_id, list_inner_product(q.v, r.v) / (q.n * r.n) AS c FROM q, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT query, rank::INT AS rank, round(greatest(0, least(1, (1 + c) / 2)), 6) AS score FROM k WHERE rank <= 10""")
 def _(spark, sf_dir):
-    found = text.search(read(spark, sf_dir, "documents"), "the license", ["text"])
-    return found.select("doc_id", F.round("_textScore", 6).alias("score"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector.neighbours(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return found.select("query", "rank", F.round("score", 6).alias("score"))
 
 
 # ---- writes, schemas, changes, sync
 
 
-@custom("merge_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'seen' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+_BUYERS = "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1"
+
+
+def _buyers(spark, sf_dir):
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).withColumn("seg", F.lit("buyer"))
+
+
+@custom("merge_upsert", f"SELECT c_custkey, c_mktsegment AS seg, n FROM customer LEFT JOIN ({_BUYERS}) ON k = c_custkey")
 def _(spark, sf_dir):
-    base = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
-    new = base.filter("c_custkey % 3 = 0").withColumn("seg", F.lit("seen"))
-    return merge_frames(base.filter("c_custkey % 2 = 0"), new, ["c_custkey"], "merge", "insert", Context(spark))
+    new = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    return merge_frames(_buyers(spark, sf_dir), new, ["c_custkey"], "merge", "insert", Context(spark)).select("c_custkey", "seg", "n")
 
 
-@custom("merge_keep_discard", "SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_custkey % 2 = 0")
+@custom("merge_replace", f"SELECT c_custkey, c_mktsegment AS seg, NULL::BIGINT AS n FROM customer")
 def _(spark, sf_dir):
-    base = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
-    new = base.filter("c_custkey % 3 = 0").withColumn("seg", F.lit("seen"))
-    return merge_frames(base.filter("c_custkey % 2 = 0"), new, ["c_custkey"], "keepExisting", "discard", Context(spark))
+    new = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    return merge_frames(_buyers(spark, sf_dir), new, ["c_custkey"], "replace", "insert", Context(spark)).select("c_custkey", "seg", "n")
+
+
+@custom("merge_keep_discard", f"SELECT k AS c_custkey, 'buyer' AS seg, n FROM ({_BUYERS})")
+def _(spark, sf_dir):
+    new = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    return merge_frames(_buyers(spark, sf_dir), new, ["c_custkey"], "keepExisting", "discard", Context(spark)).select("c_custkey", "seg", "n")
+
+
+@custom("merge_pipeline", f"SELECT c_custkey, CASE WHEN n IS NULL THEN c_mktsegment ELSE 'buyer+' || c_mktsegment END AS seg, n FROM customer LEFT JOIN ({_BUYERS}) ON k = c_custkey")
+def _(spark, sf_dir):
+    new = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    change = [{"$set": {"seg": {"$concat": ["$seg", "+", "$$new.seg"]}}}]
+    return merge_frames(_buyers(spark, sf_dir), new, ["c_custkey"], change, "insert", Context(spark)).select("c_custkey", "seg", "n")
 
 
 @custom("update_inc_set", "SELECT p_partkey, p_size + 5 AS p_size, 'new' AS p_type, least(p_retailprice, 1200.0) AS p_retailprice, (len(string_split(p_name, ' ')) + 2)::INT AS n, (p_partkey * 2)::BIGINT AS dbl FROM part")
@@ -275,11 +301,12 @@ def _(spark, sf_dir):
     return found.groupBy(F.get_json_object("fullDocument", "$.event_type").alias("operationtype_of")).agg(F.count("*").alias("n"))
 
 
-@custom("sync_last_write_wins", "SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 2 = 0 THEN 'remote' ELSE 'local' END AS who, greatest(o_orderkey % 5, o_orderkey % 3) AS hits FROM orders")
+# A third of the remote versions is earlier, a third as late as the local ones, which then lose, a third later.
+@custom("sync_last_write_wins", "SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 3 = 0 THEN 'local' ELSE 'remote' END AS who, greatest(o_orderkey % 5, o_orderkey % 3) AS hits FROM orders")
 def _(spark, sf_dir):
     base = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_id"))
     local = base.select("_id", F.lit("local").alias("who"), F.lit(1.0).alias("ts"), (F.col("_id") % 5).alias("hits"))
-    remote = base.select("_id", F.lit("remote").alias("who"), F.when(F.col("_id") % 2 == 0, 2.0).otherwise(0.5).alias("ts"), (F.col("_id") % 3).alias("hits"))
+    remote = base.select("_id", F.lit("remote").alias("who"), (F.col("_id") % 3).cast("double").alias("ts"), (F.col("_id") % 3).alias("hits"))
     return conflicts.resolve(local, remote, joins={"hits": conflicts.COUNTER}).select("_id", "who", "hits")
 
 
@@ -289,5 +316,255 @@ def _(spark, sf_dir):
     return rows.groupBy(F.lower("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
 
 
+# ---- sync: clocks, fields, updates in any order
+
+
+def _sides(spark, sf_dir):
+    """Two versions of every order, with clocks of which some have seen the other and some have not."""
+    base = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_id"), "o_orderstatus", "o_orderpriority")
+    of = lambda side, a, b: base.select("_id", F.lit(side).alias("who"), F.concat(F.lit(side[0]), "o_orderstatus").alias("status"), F.concat(F.lit(side[0]), "o_orderpriority").alias("priority"), F.lit(1.0).alias("ts"), F.create_map(F.lit("a"), a, F.lit("b"), b).alias("clock"))
+    k = F.col("_id")
+    return of("local", (k % 3).cast("int"), F.lit(1)), of("remote", F.lit(1), (k % 2 + 1).cast("int"))
+
+
+# Clocks: local {a: k % 3, b: 1}, remote {a: 1, b: k % 2 + 1}. Concurrent ones have the same latest node and time: the greater document wins.
+_CLOCK_WINNER = "CASE WHEN k % 3 <= 1 AND (k % 3 < 1 OR k % 2 = 1) THEN 'remote' WHEN k % 2 = 0 AND k % 3 > 1 THEN 'local' ELSE 'remote' END"
+
+
+@custom("sync_vector_clocks", f"SELECT k AS _id, {_CLOCK_WINNER} AS who, greatest(k % 3, 1)::INT AS a, (k % 2 + 1)::INT AS b FROM (SELECT o_orderkey AS k FROM orders)")
+def _(spark, sf_dir):
+    local, remote = _sides(spark, sf_dir)
+    found = conflicts.resolve(local, remote, clock="clock")
+    return found.select("_id", "who", F.col("clock")["a"].alias("a"), F.col("clock")["b"].alias("b"))
+
+
+@custom("sync_clocks_either_way", "SELECT count(*) AS n FROM orders")
+def _(spark, sf_dir):
+    local, remote = _sides(spark, sf_dir)
+    one, other = conflicts.resolve(local, remote, clock="clock"), conflicts.resolve(remote, local, clock="clock")
+    return one.join(other.select(F.col("_id").alias("i"), F.col("who").alias("w")), (F.col("i") == F.col("_id")) & (F.col("w") == F.col("who"))).agg(F.count("*").alias("n"))
+
+
+@custom("sync_concurrent", "SELECT o_orderkey % 3 > 1 AND o_orderkey % 2 = 1 AS c, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    local, remote = _sides(spark, sf_dir)
+    both = local.join(remote.select(F.col("_id").alias("i"), F.col("clock").alias("r")), F.col("i") == F.col("_id"))
+    return both.groupBy(conflicts.concurrent(F.col("clock"), F.col("r")).alias("c")).agg(F.count("*").alias("n"))
+
+
+@custom("sync_field_merge", "SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 2 = 0 THEN 'l' ELSE 'r' END || o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'l' ELSE 'r' END || o_orderpriority AS priority FROM orders")
+def _(spark, sf_dir):
+    local, remote = _sides(spark, sf_dir)
+    k, none = F.col("_id"), F.array().cast("array<string>")
+    local = local.withColumn("changed", F.when(k % 10 == 0, F.array(F.lit("status"), F.lit("priority"))).when(k % 2 == 0, F.array(F.lit("status"))).when(k % 5 == 0, F.array(F.lit("priority"))).otherwise(none))
+    remote = remote.withColumn("changed", F.when(k % 2 == 0, F.array(F.lit("priority"))).otherwise(F.array(F.lit("status"))))
+    # Where both sides changed the priority of one time, the remote one wins, but for local changes of it alone.
+    remote = remote.withColumn("changed", F.when(k % 5 == 0, F.array_remove("changed", "priority")).otherwise(F.col("changed")))
+    return conflicts.resolve(local, remote, "field_merge", changed="changed").select("_id", "status", "priority")
+
+
+@custom("sync_local_and_remote_win", "SELECT o_orderkey AS _id, 'local' AS a, 'remote' AS b FROM orders")
+def _(spark, sf_dir):
+    local, remote = _sides(spark, sf_dir)
+    a, b = (conflicts.resolve(local, remote, s).select("_id", F.col("who").alias(n)) for s, n in (("local_wins", "a"), ("remote_wins", "b")))
+    return a.join(b, "_id")
+
+
+@custom("sync_commutative", "SELECT p_partkey, p_size + 7 AS p_size, least(p_retailprice, 1000.0) AS p_retailprice, array_to_string(list_concat(string_split(p_name, ' '), ['x', 'y', 'x']), ' ') AS words FROM part")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.split("p_name", " ").alias("w"))
+    change = conflicts.merged_change({"$inc": {"p_size": 3}, "$push": {"w": {"$each": ["x", "y"]}}, "$min": {"p_retailprice": 1200.0}}, {"$inc": {"p_size": 4}, "$push": {"w": "x"}, "$min": {"p_retailprice": 1000.0}})
+    return conflicts.reapplied(rows, change).select("p_partkey", "p_size", "p_retailprice", F.array_join("w", " ").alias("words"))
+
+
+# ---- updates: what they make of whole documents
+
+_WORDS = "string_split(p_name, ' ')"
+
+
+def _parts(spark, sf_dir, *more):
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_name", F.split("p_name", " ").alias("w"), *more)
+
+
+@custom("update_set_on_insert", "SELECT p_partkey, 'made' AS p_type, p_size + 1 AS p_size, true AS dated FROM part")
+def _(spark, sf_dir):
+    change = {"$setOnInsert": {"p_type": "made"}, "$inc": {"p_size": 1}, "$currentDate": {"at": True}}
+    return Update(change, inserting=True).apply(_parts(spark, sf_dir)).select("p_partkey", "p_type", "p_size", (F.col("at") > F.lit("2020-01-01").cast("timestamp_ntz")).alias("dated"))
+
+
+@custom("update_not_inserting", "SELECT p_partkey, p_type, p_size + 1 AS p_size FROM part")
+def _(spark, sf_dir):
+    return Update({"$setOnInsert": {"p_type": "made"}, "$inc": {"p_size": 1}}).apply(_parts(spark, sf_dir)).select("p_partkey", "p_type", "p_size")
+
+
+@custom("update_unset_max_rename", "SELECT p_partkey, NULL::VARCHAR AS p_type, greatest(p_size, 30)::INT AS p_size, p_name AS title FROM part")
+def _(spark, sf_dir):
+    return Update({"$unset": {"p_type": ""}, "$max": {"p_size": 30}, "$rename": {"p_name": "title"}}).apply(_parts(spark, sf_dir)).select("p_partkey", "p_type", "p_size", "title")
+
+
+@custom("update_pop_bit", f"SELECT p_partkey, array_to_string({_WORDS}[2:], ' ') AS w, array_to_string({_WORDS}[:len({_WORDS}) - 1], ' ') AS v, xor((p_size | 6) & 13, 1)::INT AS bits FROM part")
+def _(spark, sf_dir):
+    rows = _parts(spark, sf_dir, F.split("p_name", " ").alias("v"))
+    out = Update({"$pop": {"w": -1, "v": 1}, "$bit": {"p_size": {"or": 6, "and": 13, "xor": 1}}}).apply(rows)
+    return out.select("p_partkey", F.array_join("w", " ").alias("w"), F.array_join("v", " ").alias("v"), F.col("p_size").alias("bits"))
+
+
+@custom("update_push_sort_slice", f"SELECT p_partkey, array_to_string(list_sort(list_concat({_WORDS}, ['m', 'zz']))[:3], ' ') AS w, array_to_string(list_concat({_WORDS}, ['q'])[-2:], ' ') AS v FROM part")
+def _(spark, sf_dir):
+    rows = _parts(spark, sf_dir, F.split("p_name", " ").alias("v"))
+    out = Update({"$push": {"w": {"$each": ["zz", "m"], "$sort": 1, "$slice": 3}, "v": {"$each": ["q"], "$slice": -2}}}).apply(rows)
+    return out.select("p_partkey", F.array_join("w", " ").alias("w"), F.array_join("v", " ").alias("v"))
+
+
+@custom("update_array_contents", f"SELECT p_partkey, array_to_string(list_concat(list_filter({_WORDS}, lambda x: x <> 'cold'), ['zzz']), ' ') AS w FROM part")
+def _(spark, sf_dir):
+    out = Update({"$pull": {"w": "cold"}}).apply(_parts(spark, sf_dir))
+    return Update({"$addToSet": {"w": {"$each": ["zzz", "zzz"]}}}).apply(out).select("p_partkey", F.array_join("w", " ").alias("w"))
+
+
+@custom("update_all_elements", "SELECT p_partkey, (p_size + 10)::INT AS a, (2 * p_size + 10)::INT AS b FROM part")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.array("p_size", F.col("p_size") * 2).alias("n"))
+    return Update({"$inc": {"n.$[]": 10}}).apply(rows).select("p_partkey", F.col("n")[0].alias("a"), F.col("n")[1].alias("b"))
+
+
+@custom("update_first_match", "SELECT p_partkey, CASE WHEN p_size > 20 THEN 0 ELSE p_size END::INT AS a, CASE WHEN p_size <= 20 AND p_size + 5 > 20 THEN 0 ELSE p_size + 5 END::INT AS b FROM part")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.array(F.struct(F.col("p_size").alias("q")), F.struct((F.col("p_size") + 5).alias("q"))).alias("items"))
+    out = Update({"$set": {"items.$.q": 0}}, query={"items.q": {"$gt": 20}}).apply(rows)
+    return out.select("p_partkey", F.col("items")[0]["q"].alias("a"), F.col("items")[1]["q"].alias("b"))
+
+
+@custom("update_pipeline", f"SELECT p_partkey, len({_WORDS})::INT AS n, p_size * 2 AS twice FROM part")
+def _(spark, sf_dir):
+    change = [{"$set": {"n": {"$size": "$w"}, "twice": {"$multiply": ["$p_size", 2]}}}, {"$unset": ["w", "p_size"]}, {"$project": {"p_partkey": 1, "n": 1, "twice": 1}}]
+    return Update(change).apply(_parts(spark, sf_dir))
+
+
+# ---- schemas: each keyword by itself
+
+
+def _schema_query(name, schema, sql):
+    @custom(name, f"SELECT p_partkey, {sql} AS ok FROM part")
+    def _(spark, sf_dir):
+        rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.when(F.col("p_size") > 25, F.col("p_type")).alias("p_type"), F.split("p_name", " ").alias("w"), F.array(F.col("p_size") % 3, F.col("p_size") % 2).alias("n"))
+        return Schema(schema).check(rows).select("p_partkey", F.col("is_valid").alias("ok"))
+
+
+_schema_query("schema_min_properties", {"minProperties": 6}, "p_size > 25")
+_schema_query("schema_max_properties", {"maxProperties": 5}, "p_size <= 25")
+_schema_query("schema_all_of", {"allOf": [{"properties": {"p_size": {"minimum": 10}}}, {"properties": {"p_name": {"pattern": "^[a-m]"}}}]}, "p_size >= 10 AND regexp_matches(p_name, '^[a-m]')")
+_schema_query("schema_any_of", {"anyOf": [{"properties": {"p_size": {"maximum": 10}}}, {"properties": {"p_name": {"pattern": "^[a-m]"}}}]}, "p_size <= 10 OR regexp_matches(p_name, '^[a-m]')")
+_schema_query("schema_lengths", {"properties": {"p_name": {"minLength": 9, "maxLength": 10}}}, "length(p_name) BETWEEN 9 AND 10")
+_schema_query("schema_items", {"properties": {"n": {"minItems": 2, "maxItems": 2, "uniqueItems": True, "items": {"bsonType": "int", "maximum": 1}}}}, "p_size % 3 <> p_size % 2 AND p_size % 3 <= 1")
+_schema_query("schema_max_items", {"properties": {"w": {"maxItems": 1}}}, f"len({_WORDS}) <= 1")
+_schema_query("schema_closed", {"additionalProperties": False, "properties": {"p_partkey": {}, "p_name": {}, "p_size": {}, "w": {}, "n": {}}}, "p_size <= 25")
+_schema_query("schema_required_enum", {"required": ["p_type"], "properties": {"p_size": {"enum": [26, 30, 40]}}}, "p_size IN (26, 30, 40)")
+
+# ---- places: other operators and shapes
+
+query("geo_near_sphere", "customer", [_PLACE, {"$match": {"location": {"$nearSphere": {"$geometry": {"type": "Point", "coordinates": [30.0, 10.0]}, "$minDistance": 500000, "$maxDistance": 2000000}}}}, {"$project": {"c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE {_hav(30.0, 10.0)} BETWEEN 500000 AND 2000000")
+_BOX = lambda a, b, c: [[a, 0.0], [b, 0.0], [b, c], [a, c], [a, 0.0]]
+query("geo_multipolygon", "customer", [_PLACE, {"$match": {"location": {"$geoWithin": {"$geometry": {"type": "MultiPolygon", "coordinates": [[_BOX(0.05, 40.05, 80.0)], [_BOX(100.05, 140.05, 80.0)]]}}}}}, {"$match": {"$expr": {"$lt": [{"$arrayElemAt": ["$location.coordinates", 1]}, 79]}}}, {"$project": {"c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE (({_LON}) BETWEEN 0.05 AND 40.05 OR ({_LON}) BETWEEN 100.05 AND 140.05) AND ({_LAT}) >= 0 AND ({_LAT}) < 79")
+query("geo_intersects", "customer", [_PLACE, {"$match": {"location": {"$geoIntersects": {"$geometry": {"type": "Polygon", "coordinates": [_BOX(170.05, -170.05, 80.0)]}}}}}, {"$match": {"$expr": {"$lt": [{"$arrayElemAt": ["$location.coordinates", 1]}, 79]}}}, {"$project": {"c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE (({_LON}) >= 170.05 OR ({_LON}) <= -170.05) AND ({_LAT}) >= 0 AND ({_LAT}) < 79")
+query("geo_polygon_hole", "customer", [_PLACE, {"$match": {"location": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": [_BOX(0.05, 60.05, 80.0), [[20.05, 0.0], [40.05, 0.0], [40.05, 79.9], [20.05, 79.9], [20.05, 0.0]]]}}}}}, {"$match": {"$expr": {"$and": [{"$lt": [{"$arrayElemAt": ["$location.coordinates", 1]}, 79]}, {"$gt": [{"$arrayElemAt": ["$location.coordinates", 1]}, 0]}]}}}, {"$project": {"c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE ({_LON}) BETWEEN 0.05 AND 60.05 AND NOT ({_LON}) BETWEEN 20.05 AND 40.05 AND ({_LAT}) > 0 AND ({_LAT}) < 79")
+
+# ---- windows: ranges, contents, all rows
+
+query("win_range_numbers", "part", [{"$setWindowFields": {"partitionBy": "$p_brand", "sortBy": {"p_size": 1}, "output": {"near": {"$sum": 1, "window": {"range": [-3, 2]}}, "s": {"$sum": "$p_size", "window": {"range": ["unbounded", "current"]}}}}}, {"$project": {"p_partkey": 1, "near": 1, "s": 1}}], "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near, (sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE UNBOUNDED PRECEDING))::BIGINT AS s FROM part")
+query("win_range_days", "orders", [{"$setWindowFields": {"partitionBy": "$o_custkey", "sortBy": {"o_orderdate": 1}, "output": {"n": {"$count": {}, "window": {"range": [-30, "current"], "unit": "day"}}, "hi": {"$max": "$o_totalprice", "window": {"range": [-52, 52], "unit": "week"}}}}}, {"$project": {"o_orderkey": 1, "n": 1, "hi": 1}}], "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND INTERVAL 364 DAYS FOLLOWING) AS hi FROM orders")
+query("win_push_contents", "orders", [{"$setWindowFields": {**_W, "output": {"seen": {"$push": "$o_orderkey", "window": {"documents": [-2, "current"]}}}}}, {"$project": {"o_orderkey": 1, "seen": _JOIN3("$seen")}}], "SELECT o_orderkey, '|' || array_to_string(list(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS seen FROM orders")
+_UP = {"window": {"documents": ["unbounded", "current"]}}
+query("win_all_rows", "orders", [{"$setWindowFields": {"sortBy": {"o_totalprice": -1, "o_orderkey": 1}, "output": {"n": {"$documentNumber": {}}, "run": {"$sum": "$o_orderkey", **_UP}, "lo": {"$min": "$o_totalprice", **_UP}, "all": {"$max": "$o_totalprice"}}}}, {"$project": {"o_orderkey": 1, "n": 1, "run": 1, "lo": 1, "all": 1}}], 'SELECT o_orderkey, (row_number() OVER w)::INT AS n, (sum(o_orderkey) OVER w)::BIGINT AS run, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER () AS "all" FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING)')
+query("win_all_ranks", "lineitem", [{"$setWindowFields": {"sortBy": {"l_quantity": 1, "l_returnflag": -1}, "output": {"r": {"$rank": {}}, "d": {"$denseRank": {}}}}}, {"$project": {"l_orderkey": 1, "l_linenumber": 1, "r": 1, "d": 1}}], "SELECT l_orderkey, l_linenumber, (rank() OVER w)::INT AS r, (dense_rank() OVER w)::INT AS d FROM lineitem WINDOW w AS (ORDER BY l_quantity, l_returnflag DESC)")
+
+# ---- joins: what the arrays hold
+
+_KEYS = lambda f, x: {"$reduce": {"input": {"$map": {"input": f, "as": "x", "in": {"$toString": x}}}, "initialValue": "", "in": {"$concat": ["$$value", "|", "$$this"]}}}
+
+
+@custom("lookup_nest_contents", "SELECT n_nationkey, coalesce(string_agg(s_name, '|' ORDER BY s_name), '') AS names, count(s_suppkey)::INT AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def _(spark, sf_dir):
+    found = aggregate(read(spark, sf_dir, "nation"), [{"$lookup": {"from": "supplier", "localField": "n_nationkey", "foreignField": "s_nationkey", "as": "s"}}], lambda n: read(spark, sf_dir, n))
+    return found.select("n_nationkey", F.array_join(F.array_sort(F.transform("s", lambda x: x["s_name"])), "|").alias("names"), F.size("s").alias("n"))
+
+
+query("lookup_pipeline_contents", "customer", [{"$lookup": {"from": "orders", "let": {"k": "$c_custkey"}, "pipeline": [*_BIG, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 3}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}], "as": "big"}}, {"$project": {"c_custkey": 1, "keys": _KEYS("$big", "$$x.o_orderkey"), "prices": {"$sum": {"$map": {"input": "$big", "as": "x", "in": {"$round": [{"$multiply": ["$$x.o_totalprice", 100]}, 0]}}}}}}], "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders WHERE o_totalprice > 250000) SELECT c_custkey, coalesce(string_agg('|' || o_orderkey, '' ORDER BY i), '') AS keys, coalesce(sum(round(o_totalprice * 100)), 0)::DOUBLE AS prices FROM customer LEFT JOIN o ON o_custkey = c_custkey AND i <= 3 GROUP BY 1")
+query("sort_two_keys", "lineitem", [{"$sort": {"l_shipdate": 1, "l_extendedprice": -1}}, {"$project": {"l_orderkey": 1, "l_shipdate": 1, "l_extendedprice": 1}}], "SELECT l_orderkey, l_shipdate, l_extendedprice FROM lineitem ORDER BY l_shipdate, l_extendedprice DESC")
+query("count_filtered", "lineitem", [{"$match": {"l_quantity": {"$gt": 25}}}, {"$count": "n"}], "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")
+query("sample_all", "nation", [{"$sample": {"size": 1000}}, {"$group": {"_id": None, "n": {"$sum": 1}, "keys": {"$sum": "$n_nationkey"}}}, {"$project": {"_id": 0, "n": 1, "keys": 1}}], "SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation")
+query("expr_root_and_current", "nation", [{"$addFields": {"doc": "$$ROOT", "same": "$$CURRENT.n_name", "b": {"$substrBytes": ["$n_name", 1, 3]}}}, {"$project": {"n_nationkey": 1, "name": "$doc.n_name", "same": 1, "b": 1}}], "SELECT n_nationkey, n_name AS name, n_name AS same, substr(n_name, 2, 3) AS b FROM nation")
+query("expr_remove", "nation", [{"$project": {"n_nationkey": 1, "low": {"$cond": [{"$lt": ["$n_nationkey", 10]}, "$n_name", "$$REMOVE"]}}}], "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN n_name END AS low FROM nation")
+
+# ---- collections
+
+
+@custom("coll_out", "SELECT o_orderstatus AS _id, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    db = Database(spark)
+    db.register("orders", read(spark, sf_dir, "orders"))
+    db["orders"].aggregate([{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}, {"$out": "byStatus"}])
+    return db["byStatus"].frame()
+
+
+@custom("coll_distinct", "SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_totalprice > 100000")
+def _(spark, sf_dir):
+    db = Database(spark)
+    return db.register("orders", read(spark, sf_dir, "orders")).distinct("o_orderpriority", {"o_totalprice": {"$gt": 100000}})
+
+
+@custom("coll_find", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5")
+def _(spark, sf_dir):
+    orders = Database(spark).register("orders", read(spark, sf_dir, "orders"))
+    return orders.find_with_options({"o_orderstatus": "F"}, {"sort": {"o_totalprice": -1, "o_orderkey": 1}, "skip": 5, "limit": 30, "projection": {"o_orderkey": 1, "o_totalprice": 1}})
+
+
+def _changed_parts(spark, sf_dir) -> Database:
+    """A collection of all parts after an insert, updates, a replacement and deletes."""
+    db = Database(spark)
+    parts = db.register("parts", read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_id"), "p_name", "p_size"))
+    parts.insert_many([{"_id": -1, "p_name": "added", "p_size": 1}, {"_id": -2, "p_name": "added too", "p_size": 50}])
+    parts.update_many({"p_size": {"$lt": 10}}, {"$inc": {"p_size": 100}, "$set": {"p_name": "small"}})
+    parts.replace_one({"_id": -1}, {"p_name": "replaced", "p_size": 7})
+    parts.update_one({"_id": -3}, {"$set": {"p_size": 3}}, upsert=True)
+    parts.delete_many({"p_size": {"$gte": 40, "$lt": 100}})
+    return db
+
+
+_CHANGED = """WITH a AS (SELECT p_partkey AS _id, p_name, p_size FROM part UNION ALL VALUES (-1, 'added', 1), (-2, 'added too', 50)),
+b AS (SELECT _id, CASE WHEN p_size < 10 THEN 'small' ELSE p_name END AS p_name, CASE WHEN p_size < 10 THEN p_size + 100 ELSE p_size END AS p_size FROM a),
+c AS (SELECT _id, CASE WHEN _id = -1 THEN 'replaced' ELSE p_name END AS p_name, CASE WHEN _id = -1 THEN 7 ELSE p_size END AS p_size FROM b UNION ALL VALUES (-3, NULL, 3))"""
+
+
+@custom("coll_changes", _CHANGED + " SELECT _id, p_name, p_size::INT AS p_size FROM c WHERE NOT (p_size >= 40 AND p_size < 100)")
+def _(spark, sf_dir):
+    return _changed_parts(spark, sf_dir)["parts"].frame()
+
+
+@custom("coll_change_log", _CHANGED + """ SELECT * FROM (VALUES ('insert', 3), ('replace', 1)) v(op, n) UNION ALL SELECT 'update', count(*) FROM a WHERE p_size < 10 UNION ALL SELECT 'delete', count(*) FROM c WHERE p_size >= 40 AND p_size < 100""")
+def _(spark, sf_dir):
+    found = _changed_parts(spark, sf_dir)["parts"].aggregate([{"$changeStream": {}}, {"$group": {"_id": "$operationType", "n": {"$sum": 1}}}])
+    return found.select(F.col("_id").alias("op"), "n")
+
+
+@custom("coll_changed_fields", _CHANGED + " SELECT CASE WHEN p_name = 'small' THEN 'p_size' ELSE 'p_name,p_size' END AS fields, count(*) AS n FROM a WHERE p_size < 10 GROUP BY 1")
+def _(spark, sf_dir):
+    db = _changed_parts(spark, sf_dir)
+    log = oplog.read_from(spark, db["parts"].log_path).filter("op = 'update'")
+    return log.groupBy(F.array_join(F.array_sort("changed_fields"), ",").alias("fields")).agg(F.count("*").alias("n"))
+
+
+@custom("collation_strength_one", "SELECT count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'")
+def _(spark, sf_dir):
+    return read(spark, sf_dir, "customer").filter(collation.equals(F.col("c_mktsegment"), "bUÍLDING", {"strength": 1})).agg(F.count("*").alias("n"))
+
+
+@custom("collation_numeric", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey")).alias("name"))
+    named = rows.withColumn("name", collation.key(F.col("name"), {"numericOrdering": True}))
+    return aggregate(named, [{"$setWindowFields": {"sortBy": {"name": 1}, "output": {"place": {"$documentNumber": {}}}}}, {"$project": {"s_suppkey": 1, "place": 1}}])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["pricing_summary"](spark, sf_dir)
