@@ -292,14 +292,23 @@ def _(c, a):
     return Val(F.concat(*[_text(c(x)) for x in a]), STRING)
 
 
-@op("$substr", "$substrBytes", "$substrCP")
+@op("$substrCP")
 def _(c, a):
-    s, start, size = c.args(a, 3, name="$substr")
+    s, start, size = c.args(a, 3, name="$substrCP")
     text = s.col if s.is_string else s.col.cast("string")
     size = F.when(size.col < 0, F.char_length(text)).otherwise(size.col).cast("int")
     return Val(F.coalesce(F.substring(text, (start.col + 1).cast("int"), size), F.lit("")), STRING)
 
 
+@op("$substr", "$substrBytes")
+def _(c, a):
+    """By bytes; a character cut in two is shown as one that cannot be read."""
+    s, start, size = c.args(a, 3, name="$substr")
+    data = (s.col if s.is_string else s.col.cast("string")).cast("binary")
+    size = F.when(size.col < 0, F.octet_length(data)).otherwise(size.col).cast("int")
+    return Val(F.coalesce(F.substring(data, (start.col + 1).cast("int"), size).cast("string"), F.lit("")), STRING)
+
+
 @op("$toUpper")
 def _(c, a):
     return Val(F.upper(c.one(a).col.cast("string")), STRING)
