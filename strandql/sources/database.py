@@ -387,7 +387,7 @@ class Collection:
         out = {"stages": stages, "kind": kind, "index": index, "plan": df._jdf.queryExecution().toString()}
         if verbosity == "executionStats":
             counted = df.groupBy().agg(F.count(F.lit(1)).alias("n"))
-            out["returned"] = counted.first()["n"]
+            out["returned"] = counted.collect()[0]["n"]
             out["examined"] = access.rows_read(counted)
         return out
 
@@ -448,7 +448,7 @@ class Collection:
         if isinstance(docs, DataFrame):
             new = cut(new, "inserted")  # ids are made once, and what is logged is what is stored
         else:
-            new = self.database.spark.createDataFrame(new.collect(), new.schema)
+            new = self.database.spark.createDataFrame(new.collect(), new.schema).coalesce(1)
         n = new.count()
         if n:
             self.database.append(self.name, new)

@@ -170,3 +170,193 @@ def test_collation(spark):
     assert df.filter(collation.equals(F.col("s"), "ITEM9", {"strength": 2})).count() == 1
     keyed = df.filter("lower(s) like 'item%'").orderBy(collation.key(F.lower(F.col("s")), {"numericOrdering": True}))
     assert [r["s"] for r in keyed.collect()] == ["ITEM 2", "Item9", "item10"]
+
+
+# ---- files, logs and cursors
+
+
+def boats(spark, **options):
+    db = Database(spark, **options)
+    c = db.register("boats", spark.range(40).selectExpr("cast(id as int) as _id", "concat('boat ', id) as name", "cast(id % 7 as int) as deck").repartition(4, "_id"))
+    return db, c
+
+
+def test_inserts_leave_the_files_and_changes_touch_few(spark):
+    db, c = boats(spark)
+    c.insert_one({"_id": 100, "name": "new", "deck": 50})
+    before = set(c.frame().inputFiles())
+    c.insert_one({"_id": 101, "name": "newer", "deck": 51})
+    assert before < set(c.frame().inputFiles()) and c.count_documents() == 42
+    old = c.frame()
+    assert c.update_many({"_id": 100}, {"$set": {"deck": 60}}).modified == 1
+    gone = set(old.inputFiles()) - set(c.frame().inputFiles())
+    assert len(gone) == 1 and old.filter("deck = 50").count() == 1  # readers of the old version go on
+    assert c.find_one({"_id": 100})["deck"] == 60 and c.count_documents() == 42
+    assert c.delete_many({"_id": {"$gte": 100}}).deleted == 2 and c.count_documents() == 40
+
+
+def test_new_fields_and_wider_types(spark):
+    _, c = boats(spark)
+    assert c.update_many({"_id": {"$lt": 3}}, {"$set": {"flag": "red"}}).matched == 3
+    assert c.update_many({"_id": 1}, {"$mul": {"deck": 2.5}}).matched == 1
+    got = {r["_id"]: (r["deck"], r["flag"]) for r in c.find({"_id": {"$in": [1, 2, 30]}})}
+    assert got == {1: (2.5, "red"), 2: (2.0, "red"), 30: (2.0, None)}
+    assert c.update_many({"_id": 2}, {"$unset": {"flag": ""}}).modified == 1 and c.find_one({"_id": 2})["flag"] is None
+    assert c.update_many({"_id": 2}, {"$set": {"deck": 2.0}}).modified == 0
+
+
+def test_one_change_takes_one_row(spark):
+    _, c = boats(spark)
+    assert c.update_one({"deck": 3}, {"$set": {"name": "first"}}).matched == 1 and c.count_documents({"name": "first"}) == 1
+    assert c.delete_one({"deck": 4}).deleted == 1 and c.count_documents() == 39
+    before = c.find_one_and_delete({"deck": 5})
+    assert before["deck"] == 5 and c.find_one({"_id": before["_id"]}) is None
+    assert c.find_one_and_replace({"_id": 1}, {"name": "other", "deck": 0})["name"] == "boat 1" and c.find_one({"_id": 1})["name"] == "other"
+    assert c.find_one_and_update({"_id": 1}, {"$inc": {"deck": 4}}, after=True)["deck"] == 4
+
+
+def test_every_change_is_logged(spark):
+    db, c = boats(spark)
+    seen = c.watch(max_await_time_ms=10).writeStream.format("memory").queryName("boat_changes").trigger(availableNow=True)
+    c.insert_many([{"_id": 50, "name": "a", "deck": 1}, {"_id": 51, "name": "b", "deck": 2}])
+    c.update_one({"_id": 50}, {"$set": {"name": "aa"}, "$inc": {"deck": 0}})
+    c.replace_one({"_id": 51}, {"name": "bb", "deck": 9})
+    c.bulk_write([{"updateOne": {"filter": {"_id": 52}, "update": {"$set": {"deck": 5}}, "upsert": True}}, {"deleteOne": {"filter": {"_id": 50}}}])
+    c.update_many({"_id": 51}, {"$set": {"deck": 9}})  # changes nothing
+    seen.start().awaitTermination(60)
+    streamed = [(r["operationType"], int(r["documentKey"]["_id"])) for r in spark.table("boat_changes").orderBy("_ts").collect()]
+    assert sorted(streamed) == sorted([("insert", 50), ("insert", 51), ("update", 50), ("replace", 51), ("insert", 52), ("delete", 50)])
+    events = c.aggregate([{"$changeStream": {}}]).collect()
+    assert [r["operationType"] for r in events if r["documentKey"]["_id"] == "50"] == ["insert", "update", "delete"] and events[-1]["fullDocument"] is None
+    log = oplog.read_from(spark, c.log_path)
+    assert [r["changed_fields"] for r in log.filter("op = 'update'").collect()] == [["name"]]
+    token = events[2]["_token"].asDict()
+    assert len(c.aggregate([{"$changeStream": {"resumeAfter": token}}, {"$match": {"operationType": "delete"}}]).collect()) == 1
+    _, quiet = boats(spark, log=False)
+    quiet.insert_one({"_id": 70, "name": "x", "deck": 1})
+    assert quiet.aggregate([{"$changeStream": {}}]).count() == 0
+
+
+def test_log_retention(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for k in range(5):
+        oplog.append(spark.createDataFrame([(f"{k}", k)], "_id string, v int"), path, "n", "insert")
+    assert oplog.truncate_count(spark, path, 9) == 0 and oplog.truncate_count(spark, path, 3) == 2
+    left = [r["doc_id"] for r in oplog.read_from(spark, path).collect()]
+    assert left == ["2", "3", "4"]
+    last = oplog.read_from(spark, path).collect()[1]["ts"]
+    assert oplog.truncate_before(spark, path, last) == 1 and oplog.read_from(spark, path).count() == 2
+
+
+def test_cursor_places_and_slices(spark):
+    _, c = boats(spark)
+    cursor = c.find({"deck": {"$lt": 5}}).sort("_id", -1)
+    whole = cursor.to_list()
+    assert cursor[0] == whole[0] and cursor[-1] == whole[-1] and cursor[2:5] == whole[2:5] and cursor[3:] == whole[3:] and cursor[:6:2] == whole[:6:2] and cursor[-3:] == whole[-3:]
+    with pytest.raises(IndexError):
+        cursor[999]
+    assert len(cursor) == len(whole)
+
+
+def test_explain_tells_how_documents_are_reached(spark):
+    _, c = boats(spark)
+    c.create_index("_id")
+    c.create_index([("place", 1)], name="places")
+    c.create_index("v", type="vectorSearch", vectorSearchOptions={"dimensions": 8, "metric": "cosine"})
+    kinds = [({"_id": 3}, "IXSEEK"), ({"_id": {"$gt": 3}}, "IXSCAN"), ({"_id": {"$in": [1, 2]}}, "BITMAP_SCAN"), ({"deck": 3}, "COLLSCAN"), ({"$or": [{"_id": 1}, {"_id": 2}]}, "OR_UNION"), ({"$text": {"$search": "boat"}}, "TEXT_SCAN")]
+    for query, kind in kinds:
+        assert c.explain(query)["kind"] == kind, query
+    assert c.explain([{"$match": {"deck": 1}}, {"$sort": {"_id": 1}}])["kind"] == "IXSCAN_SORTED"
+    c.insert_one({"_id": 90, "name": "stored", "deck": 1})
+    got = c.explain({"deck": 1}, "executionStats")
+    assert got["returned"] == c.count_documents({"deck": 1}) and got["examined"] >= got["returned"]
+    found = c.aggregate([{"$listSearchIndexes": {}}]).collect()
+    assert [(r["name"], r["latestDefinition"]["fields"][0]["numDimensions"]) for r in found] == [("v", 8)]
+    assert c.aggregate([{"$collStats": {}}]).first()["count"] == 41 and c.aggregate([{"$indexStats": {}}, {"$count": "n"}]).first()["n"] == 3
+
+
+def test_current_operations(spark):
+    db, _ = boats(spark)
+    assert db.run([{"$currentOp": {}}, {"$match": {"active": True}}]).columns == ["opid", "type", "active"]
+    with pytest.raises(PipelineError):
+        db.run([{"$match": {}}])
+
+
+def test_sparse_and_partial_indexes(spark):
+    db = Database(spark)
+    c = db.create_collection("s", "_id int, code string, live boolean")
+    c.insert_many([{"_id": 1, "code": None, "live": True}, {"_id": 2, "code": None, "live": True}, {"_id": 3, "code": "k", "live": False}, {"_id": 4, "code": "k", "live": True}])
+    with pytest.raises(PipelineError):
+        c.create_index("code", unique=True)
+    with pytest.raises(PipelineError):
+        c.create_index("code", unique=True, sparse=True)
+    c.create_index("code", name="live codes", unique=True, sparse=True, partialFilterExpression={"live": True})
+    assert c.rebuild_index("live codes") == 4 and list(c.list_indexes()) == ["live codes"]
+    c.insert_one({"_id": 5, "code": "k", "live": False})
+    with pytest.raises(PipelineError):
+        c.insert_one({"_id": 6, "code": "k", "live": True})
+    assert c.count_documents() == 5
+
+
+def test_reap_takes_old_documents(spark):
+    import datetime as dt
+
+    db = Database(spark)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    c = db.register("d", spark.createDataFrame([(1, now - dt.timedelta(hours=2)), (2, now), (3, None)], "_id int, at timestamp_ntz"))
+    assert c.reap("at", 3600).deleted == 1 and sorted(r["_id"] for r in c.find({})) == [2, 3] and c.reap("none", 1).deleted == 0
+
+
+# ---- conflicts from either side
+
+
+def test_ties_go_to_the_remote_side_and_clocks_to_the_same_from_either(spark):
+    schema = "_id int, v string, ts double, clock map<string,int>"
+    a = [(1, "p", 5.0, {"x": 2, "y": 1}), (2, "p", 5.0, {"x": 1}), (3, "p", 9.0, {"x": 1, "m": 1}), (4, "p", 5.0, {"x": 3}), (5, "p", 5.0, None)]
+    b = [(1, "q", 5.0, {"x": 1, "y": 2}), (2, "q", 5.0, {"z": 1}), (3, "q", 1.0, {"x": 1, "k": 4}), (4, "q", 9.0, {"x": 2}), (5, "q", 5.0, {"x": 1})]
+    a, b = (spark.createDataFrame(x, schema) for x in (a, b))
+    get = lambda l, r, **k: {x["_id"]: x["v"] for x in conflicts.resolve(l, r, **k).collect()}  # noqa: E731, E741
+    assert set(get(a, b).values()) == {"q", "p"} and get(a, b)[1] == "q" and get(b, a)[1] == "p" and get(a, b)[3] == "p"
+    one, other = get(a, b, clock="clock"), get(b, a, clock="clock")
+    assert {k: v for k, v in one.items() if k < 5} == {k: v for k, v in other.items() if k < 5} == {1: "q", 2: "q", 3: "p", 4: "p"}
+    assert one[5] == "q" and other[5] == "p"  # without a clock on both sides time decides, and a tie is the remote side's
+
+
+def test_field_merge_by_who_changed_what(spark):
+    schema = "_id int, a string, b string, c string, d string, ts double, changed array<string>"
+    local = spark.createDataFrame([(1, "la", "lb", "lc", "ld", 9.0, ["a", "c"])], schema)
+    remote = spark.createDataFrame([(1, "ra", "rb", "rc", None, 3.0, ["b", "c"])], schema)
+    got = conflicts.resolve(local, remote, "field_merge", changed="changed").first()
+    assert (got["a"], got["b"], got["c"], got["d"]) == ("la", "rb", "lc", "ld") and got["changed"] == ["a", "c", "b"]
+
+
+def test_commutative_updates(spark):
+    assert conflicts.is_commutative({"$inc": {"a": 1}, "$max": {"b": 2}}) and not conflicts.is_commutative({"$set": {"a": 1}}) and not conflicts.is_commutative({})
+    got = conflicts.merged_change({"$inc": {"n": 2}, "$addToSet": {"t": {"$each": ["x", "y"]}}, "$max": {"m": 3}}, {"$inc": {"n": 5, "k": 1}, "$addToSet": {"t": "y"}, "$max": {"m": 7}, "$push": {"l": 1}})
+    assert got == {"$inc": {"n": 7, "k": 1}, "$push": {"l": {"$each": [1]}}, "$addToSet": {"t": {"$each": ["x", "y"]}}, "$max": {"m": 7}}
+    remote = spark.createDataFrame([(1, 10, ["y"])], "_id int, n int, t array<string>")
+    assert conflicts.reapplied(remote, {"$inc": {"n": 2}, "$addToSet": {"t": {"$each": ["x", "y"]}}}).first().asDict() == {"_id": 1, "n": 12, "t": ["y", "x"]}
+    for bad in (lambda: conflicts.merged_change({"$set": {"a": 1}}, {"$inc": {"a": 1}}), lambda: conflicts.reapplied(remote, {"$set": {"n": 1}})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dotProduct", "euclidean"])
+def test_neighbours_of_many_vectors(spark, metric):
+    import numpy as np
+
+    from strandql.operators import vector
+
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(900, None), (901, [1.0])], "k long, v array<double>").repartition(5)
+    got = vector.neighbours(rows, rows.where("k % 20 = 0"), "k", "v", 4, metric, block=7)
+    found = {}
+    for r in got.orderBy("query", "rank").collect():
+        found.setdefault(r["query"], []).append((r["k"], r["score"]))
+    assert len(found) == 15
+    for q, near in found.items():
+        s = vector.similarity(data[q : q + 1], data, metric)[0]
+        want = sorted(range(300), key=lambda i: (-s[i], i))[:4]
+        assert [k for k, _ in near] == want and [x for _, x in near] == pytest.approx(s[want])
+    assert vector.neighbours(rows.limit(0), rows.where("k = 1"), "k", "v", 4).count() == 0 and vector.neighbours(rows, rows.limit(0), "k", "v", 4).count() == 0
