@@ -1,13 +1,13 @@
-"""Shared folders, intermediate tables and small text helpers of the llm operators."""
+"""Intermediate tables and small text helpers of the llm operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandql.sources import tables
+from strandql.sources.tables import discard, fresh_path, remove, scratch, shared_dir  # noqa: F401 - the operators' names for them
+
 #: Words of every contract here: maximal runs of anything but the ASCII white space characters.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -17,55 +17,20 @@ BATCH_BYTES = 16 << 20
 ROWS_OF_ID = 4
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local master gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="strandql-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut by files that survive a lost executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.folder = path  # type: ignore[attr-defined]
-    return made
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove the files of tables made by materialize, once nothing reads them any more."""
-    for df in tables:
-        remove(df.sparkSession, df.folder)
-
-
-def folders(spark: SparkSession) -> set[str]:
-    """The operators' folders that are in the shared one now."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {x.getPath().toString() for x in store.listStatus(at)} if store.exists(at) else set()
+    return tables.cut(df, name, "zstd")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound the bytes of the Arrow batches that Python workers get, where the session does not set a bound of its own.
+
+    The settings hold for the session, as the plans made here run after this call.
+    """
+    for key, usual, own in (("maxBytesPerBatch", "67108864b", BATCH_BYTES), ("maxRecordsPerBatch", "10000", 2000)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, str(own))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

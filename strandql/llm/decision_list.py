@@ -148,8 +148,8 @@ def list_column(rules: list[list[Condition]], edges: list[list[float]]) -> Colum
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_fold: int | None = 0) -> Column:
-    """The verdict learned from the labelled rows of docs; rows of the held-out fold are not used."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_fold: int | None = 0) -> tuple[list[list[Condition]], list[list[float]]]:
+    """(the rules in order, the thresholds of each rate) from the labelled rows of docs; rows of the held-out fold are not used."""
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).withColumn("fold", common.fold_of(F.col("doc_id")))
     if held_out_fold is not None:
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for row in cells:
         made[row["prune"]].append((tuple(row[r] for r in RATES), row["bad"], row["good"]))
     common.discard(known)
-    return list_column(learn_list(made[0], made[1], [len(e) for e in edges]), edges)
+    return learn_list(made[0], made[1], [len(e) for e in edges]), edges
 
 
 def base_rule(least_words: int = 20, most_repeats: int = 30) -> Column:
@@ -176,14 +176,14 @@ def base_rule(least_words: int = 20, most_repeats: int = 30) -> Column:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row; but for the labelled rows' statistics nothing is shuffled."""
-    verdict = train(docs, labels, id_col, text_col, label_col)
+    verdict = list_column(*learn(docs, labels, id_col, text_col, label_col))
     counts = text_counts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_rule().alias("base_failed"), (~base_rule() & verdict).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs without the rows that the rules reject, all columns kept."""
-    verdict = train(docs, labels, id_col, text_col, label_col)
+    verdict = list_column(*learn(docs, labels, id_col, text_col, label_col))
     counts = text_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), "row")
     # A filter on computed columns would be pushed below them, and arrays that are made once a text be made again for
     # every element of a window. It cannot pass a column that is not deterministic, here the number of the row.

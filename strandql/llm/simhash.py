@@ -5,8 +5,9 @@ first, so any number of exact copies is one point. A vantage-point tree over a b
 decides the shards: a node with vantage point v and radius r sends a point p inside if d(p, v) <= r + k and
 outside if d(p, v) > r. By the triangle inequality two points within k of each other always share a shard; the
 points in the shell are those that query both sides. Each shard is searched by a tree of its own, down to blocks
-that are compared exactly, and returns a spanning forest of its links, never all pairs of a group. Components
-over all shards come from alternating star rounds, each written to the shared folder.
+that are compared exactly, and returns a spanning forest of its links, never all pairs of a group. A shard of points
+too near each other to be parted is searched two blocks at a time. Components over all shards come from alternating
+star rounds, each written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows get a row
 each; a null doc_id never becomes a component id unless the whole component has none; an empty table gives an
@@ -185,8 +186,17 @@ def links(points: DataFrame, near: int = 3, shard_points: int = SHARD_POINTS, le
         u, v = shard_forest(pdf["fp"].to_numpy(np.int64).view(np.uint64), near)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
-    return dealt.groupBy("shard").applyInPandas(search, "u long, v long").distinct()
+    dealt = common.materialize(points.select("fp").mapInArrow(deal, "shard int, fp long"), "shards")
+    # A cluster of near points that no vantage point parts is one shard, however large. It is dealt into blocks, and every
+    # two of them are searched together, so that no task holds more than a usual shard.
+    room = max(2, int(shard_points) // 2)
+    sizes = [(r["shard"], -(-r["count"] // room)) for r in dealt.groupBy("shard").count().collect() if r["count"] > 4 * room]  # of as many shards as leaves
+    if not sizes:
+        return dealt.groupBy("shard").applyInPandas(search, "u long, v long").distinct()
+    parted = dealt.join(F.broadcast(spark.createDataFrame(sizes, "shard int, blocks long")), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    parted = parted.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parted = parted.select("shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
+    return parted.groupBy("shard", "lo", "hi").applyInPandas(search, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

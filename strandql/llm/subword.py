@@ -88,10 +88,9 @@ def train(rows: list[tuple[int, bytes]], seed: int = 13) -> tuple[np.ndarray, fl
     return ((vectors @ out) @ np.array([-1, 1], np.float32)).astype(np.float64), float(bias[1] - bias[0])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; labels of the held-out fold are never seen."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
+def learn(docs: DataFrame, labels: DataFrame, *, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
+    """(score of each bucket, bias) from a bounded number of labelled rows outside the held-out fold."""
+    common.bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id")) != held_out_fold))
@@ -105,7 +104,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
             break
         rows.append((row["label"], bytes(row["counts"])))
     common.discard(ready)
-    shared = spark.sparkContext.broadcast(train(rows) if rows else (np.zeros(BUCKETS), 0.0))
+    return train(rows) if rows else (np.zeros(BUCKETS), 0.0)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; labels of the held-out fold are never seen."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out_fold=held_out_fold, id_col=id_col, text_col=text_col, label_col=label_col))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value

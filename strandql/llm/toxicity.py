@@ -227,19 +227,24 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> tuple[np
     return words, weights[:-1], float(weights[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; labels of the held-out fold are never seen."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
+def learn(docs: DataFrame, labels: DataFrame, *, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(sorted hashes of the features, weights, bias) from the rows outside the held-out fold; None without a confirmed toxic one."""
+    common.bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     in_fold = F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id")) != held_out_fold)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & in_fold)
     share = own.agg(F.avg("label").alias("prior"), F.sum("label").alias("n")).first()
-    model = None
-    if share["n"]:
-        chosen = common.bounded_sample(own.where("label = 1").select("doc_id"), POSITIVES, "doc_id")
-        model = train(common.labelled_rows(src, chosen), src.where(in_fold), min(max(float(share["prior"]), 1e-4), 0.9))
-    shared = spark.sparkContext.broadcast(model)
+    if not share["n"]:
+        return None
+    chosen = common.bounded_sample(own.where("label = 1").select("doc_id"), POSITIVES, "doc_id")
+    return train(common.labelled_rows(src, chosen), src.where(in_fold), min(max(float(share["prior"]), 1e-4), 0.9))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; labels of the held-out fold are never seen."""
+    model = learn(docs, labels, held_out_fold=held_out_fold, id_col=id_col, text_col=text_col, label_col=label_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is not None:

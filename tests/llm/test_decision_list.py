@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import unicodedata
 
 import pytest
 
@@ -68,3 +71,39 @@ def test_odd_rows(spark, make_docs, labelled):
     kept = d.good_documents(docs, labels)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [4]
     assert d.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def plain_rates(text):
+    n_words, chars, symbols, dup_lines, repeats = plain(text)
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    n = max(n_words, 1)
+    return symbols / n, chars / n, upper / max(chars, 1), text.count("!") / n, repeats / n, dup_lines / max(len(lines), 1), len(set(words)) / n
+
+
+def test_verdicts_against_brute_force(spark, sample):
+    """Every document by the learned conjunctions, in order, on plainly counted rates."""
+    docs, labels = sample("documents"), sample("labels")
+    rules, edges = d.learn(docs, labels)
+    assert rules
+    found = {r["doc_id"]: r["kept"] for r in d.quality_rules(docs, labels).collect()}
+    for r in docs.where("length(text) < 8000").collect():
+        n_words, *_, repeats = plain(r["text"])
+        rates = plain_rates(r["text"])
+        rejected = any(all((rates[c.rate] > edges[c.rate][c.bin - 1]) == c.above for c in rule) for rule in rules)
+        assert found[r["doc_id"]] == (not (n_words < 20 or 100 * repeats > 30 * n_words) and not rejected), r["doc_id"]
+
+
+def test_best_condition_against_all_conditions():
+    rng = random.Random(8)
+    cells = [((rng.randrange(4), rng.randrange(3)), rng.randrange(6), rng.randrange(6)) for _ in range(30)]
+
+    def gain(c):
+        bad, good = (sum(x[k] for x in cells) for k in (1, 2))
+        p, q = (sum(x[k] for x in cells if c.holds(x[0])) for k in (1, 2))
+        return p * (math.log2(p / (p + q)) - math.log2(bad / (bad + good))) if p else 0.0
+
+    every = [d.Condition(k, above, b) for k, n in enumerate((3, 2)) for b in range(1, n + 1) for above in (False, True)]
+    assert gain(d._best_condition(cells, [], [3, 2])) == pytest.approx(max(map(gain, every)))

@@ -87,6 +87,25 @@ def test_tight_cluster_gives_a_forest_not_all_pairs():
     assert len(u) == len(points) - 1 and len(set(v.tolist())) == 1
 
 
+def test_dense_clusters_are_searched_in_blocks(spark, monkeypatch):
+    """Thousands of points within a few bits of one, which no vantage point parts, and others far from them."""
+    rng = np.random.default_rng(6)
+    base = np.uint64(0xF0F0123456789ABC)
+    flips = lambda k: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (2500, k)).astype(np.uint64), axis=1)
+    points = np.unique(np.concatenate([base ^ flips(2), ~base ^ flips(2)[:700], base ^ flips(9), rng.integers(0, 1 << 63, 300, np.uint64)]))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, shard_points=500, least_shards=1)).collect()}
+    u, v = simhash.shard_forest(points, 3)
+    assert len(np.unique(v)) > 1 and len(u) > 2000
+    groups = lambda pairs: {frozenset(x) for x in pairs.values()}
+    one, other = {}, {}
+    for node, root in found.items():
+        one.setdefault(root, {root}).add(node)
+    for node, root in zip(u.view(np.int64).tolist(), v.view(np.int64).tolist()):
+        other.setdefault(root, {root}).add(node)
+    assert groups(one) == groups(other)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i + 1, i) for i in range(60)] + [(100, 200), (200, 300), (-5, 300)]
     found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
