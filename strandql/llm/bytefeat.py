@@ -98,6 +98,88 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+#: Up to so many bytes three numbers of eight bytes hold a span whole.
+THREE_NUMBERS = 24
+_LONG = np.uint64(1 << 63)
+
+
+def padded(buf: np.ndarray) -> np.ndarray:
+    """The bytes with eight more behind them, which span_keys reads beyond."""
+    return np.concatenate([buf, np.zeros(8, np.uint8)])
+
+
+def span_keys(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(a key of each span, the spans of more than seven bytes, their first, second and last eight bytes and sizes); buf is padded.
+
+    Two spans of up to seven bytes have one key only if they are equal; two of up to THREE_NUMBERS are equal if their
+    numbers and sizes are.
+    """
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    size = hi - lo
+    keys = eight[lo] & _LEADING[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 7)
+    own = size[long].astype(np.uint64)
+    first, middle, last = keys[long], eight[np.minimum(lo[long] + 8, hi[long] - 8)], eight[hi[long] - 8]
+    keys |= size.astype(np.uint64) << np.uint64(56)
+    keys[long] = mix(first * _P ^ mix(middle * _P ^ mix(last + own))) | _LONG
+    return keys, long, (first, middle, last, own)
+
+
+class SpanTable:
+    """The numbers of known words, found by their bytes: an open hash table whose hits are compared, a dictionary for long words."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.n = len(words)
+        self.bits = max(10, int(4 * self.n).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.int32)  # a word's number and one; 0 is empty
+        whole = padded(np.frombuffer(b"".join(words), np.uint8))
+        ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
+        # At least one word more than there are: place 0 of keys and parts is the empty slot's.
+        self.keys, self.parts = np.zeros(self.n + 1, np.uint64), np.zeros((4, self.n + 1), np.uint64)
+        if not words:
+            self.odd: dict[bytes, int] = {}
+            return
+        keys, long, parts = span_keys(whole, starts, ends)
+        self.keys[1:] = keys
+        for row, part in enumerate(parts):
+            self.parts[row, long + 1] = part
+        _, first = np.unique(keys, return_index=True)
+        seated = first[ends[first] - starts[first] <= THREE_NUMBERS]
+        rest = np.ones(self.n, bool)
+        rest[seated] = False
+        self.odd = {words[k]: k for k in np.flatnonzero(rest).tolist()}
+        entries = (seated + 1).astype(np.int32)
+        slot = self._slot(self.keys[entries])
+        while len(entries):
+            empty = self.slots[slot] == 0
+            self.slots[slot[empty]] = entries[empty]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _P) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, buf: np.ndarray, data: bytes, lo: np.ndarray, hi: np.ndarray, named=None) -> np.ndarray:
+        """The number of each span's word, -1 where it is none; buf is padded. named(bytes): the word that stands for a long one."""
+        keys, long, parts = span_keys(buf, lo, hi)
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        todo = np.flatnonzero((at > 0) & (self.keys[at] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+            at[todo] = self.slots[slot[todo]]
+            todo = todo[(at[todo] > 0) & (self.keys[at[todo]] != keys[todo])]
+        out = at.astype(np.int64) - 1
+        differ = parts[3] > THREE_NUMBERS
+        for row, part in enumerate(parts):
+            differ |= (at[long] > 0) & (self.parts[row, at[long]] != part)
+        for k in long[differ].tolist():
+            word = data[lo[k] : hi[k]]
+            out[k] = self.odd.get(named(word) if named else word, -1)
+        return out
+
+
 def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte of every character and the end, a number for each character: its bytes)."""
     inner = (buf & 0xC0) == 0x80

@@ -7,7 +7,7 @@ a file advancing in step. Texts are encoded where they are read; their ids are t
 id, so no task depends on a hot key or on the corpus size; only counts by vocabulary entry and sums by partition reach
 the driver. The folder must be on a store that pyarrow can write (local or mounted, HDFS, S3, GCS).
 
-Defined cases: a null or empty text has the end id alone; repeated rows are encoded as often as they occur
+Defined cases: a null or empty text has the end id alone; a very long one is encoded whole and lies in one file; repeated rows are encoded as often as they occur
 (equal ids are ordered by their text's hash); a null id sorts first and comes back null; an empty table gives
 no files and an empty result; other columns are not read.
 
@@ -219,12 +219,7 @@ _PUNCTUATION[33:127] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _PUNCTUATION &= ~_ALNUM
-#: The leading bytes of a number of eight, by how many of them belong to a word.
-_LEADING = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_LONG = np.uint64(1 << 63)
-#: Up to so many bytes three numbers of eight bytes hold a part whole.
-THREE_NUMBERS = 24
 
 
 def core_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -256,7 +251,7 @@ class WordIds:
     Parts of letters only are encoded many in one string: the last token of each, and no other, is one that ends a
     word. Texts that may hold a special token, and all texts of other tokenizers, are encoded as they are.
 
-    A part of seven bytes or fewer is its own key in an open hash table. One of up to THREE_NUMBERS bytes is found by
+    A part of seven bytes or fewer is its own key in an open hash table. One of up to bytefeat.THREE_NUMBERS bytes is found by
     a hash of its three numbers of eight bytes and its size, and these are compared at every hit; where they differ, and for longer
     parts, a dictionary of the bytes decides. So no part ever gets another's ids, whatever its hash.
     """
@@ -351,15 +346,9 @@ class WordIds:
         return entries
 
     def _entries(self, buf: np.ndarray, data: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The entries of the parts from lo to hi; buf has eight bytes more than the parts need."""
-        eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+        """The entries of the parts from lo to hi; buf is padded."""
+        keys, long, whole = bytefeat.span_keys(buf, lo, hi)
         size = hi - lo
-        keys = eight[lo] & _LEADING[np.minimum(size, 8)]
-        long = np.flatnonzero(size > 7)
-        first, middle, last = keys[long], eight[np.minimum(lo[long] + 8, hi[long] - 8)], eight[hi[long] - 8]
-        whole = (first, middle, last, size[long].astype(np.uint64))
-        keys |= size.astype(np.uint64) << np.uint64(56)
-        keys[long] = bytefeat.mix(first * _SPREAD ^ bytefeat.mix(middle * _SPREAD ^ bytefeat.mix(last + whole[3]))) | _LONG
         at = self._find(keys)
         missing = np.flatnonzero(at == 0)
         if len(missing):
@@ -374,7 +363,7 @@ class WordIds:
             self._seat(entries)
             at[missing] = entries[np.searchsorted(new, keys[missing])]
         got = at[long]
-        differ = size[long] > THREE_NUMBERS
+        differ = size[long] > bytefeat.THREE_NUMBERS
         for row, part in enumerate(whole):
             differ |= self.words[row, got] != part
         odd = long[differ]
@@ -408,7 +397,7 @@ class WordIds:
             lo[place], hi[place] = starts, cuts
             lo[place[tail] + 1], hi[place[tail] + 1] = cuts[tail], ends[tail]
             data = buf.tobytes()
-            known = self._entries(np.concatenate([buf, np.zeros(8, np.uint8)]), data, lo, hi)
+            known = self._entries(bytefeat.padded(buf), data, lo, hi)
             sizes = self.sizes[known]
             upto = np.concatenate([[0], np.cumsum(sizes)])
             ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begins[known] - upto[:-1], sizes)]

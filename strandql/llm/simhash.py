@@ -9,8 +9,8 @@ that are compared exactly, and returns a spanning forest of its links, never all
 too near each other to be parted is searched two blocks at a time. Components over all shards come from alternating
 star rounds, each written to the shared folder.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows get a row
-each; a null doc_id never becomes a component id unless the whole component has none; an empty table gives an
+Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text of any length is read
+whole; a bit set in exactly half the hashes is 0; repeated rows get a row each; a null doc_id never becomes a component id unless the whole component has none; an empty table gives an
 empty result; other columns are not read.
 """
 

@@ -131,3 +131,18 @@ def test_copies_of_one_row_spread_over_ranges(spark, make_docs):
     assert made.files.count() > 1
     found = sorted(map(tuple, huffman.read_ids(spark, made).collect()), key=lambda r: r[1])
     assert found == expected([(3, "before"), *[(7, "the same text again")] * 500, (9, "behind")])
+
+
+def test_span_table_tells_words_by_their_bytes(monkeypatch):
+    words = [b"a", b"ab", b"abcdefg", b"abcdefgh", b"abcdefghi", b"x" * 24, b"x" * 25, b"y" * 300, b"\n", "größe".encode()] + [b"word%d" % k for k in range(3000)]
+    text = b" ".join([*words[:8], *words[9:], b"none", b"abcdefgz", b"x" * 26, b"y" * 299, b"word3000"])
+    for flat in (False, True):
+        if flat:
+            monkeypatch.setattr(huffman.bytefeat, "mix", lambda x: x * np.uint64(0))  # all spans of 8 to 24 bytes collide
+        table = huffman.bytefeat.SpanTable(words)
+        buf = np.frombuffer(text, np.uint8)
+        starts, ends = huffman.bytefeat.spans(buf, False)
+        found = table.find(huffman.bytefeat.padded(buf), text, starts, ends).tolist()
+        assert found == [*range(8), *range(9, len(words)), -1, -1, -1, -1, -1]
+    empty = huffman.bytefeat.SpanTable([])
+    assert empty.find(huffman.bytefeat.padded(buf), text, starts, ends).max() == -1

@@ -106,9 +106,9 @@ def test_pieces_are_slots_of_equal_size_spread_evenly(spark, make_docs):
 
 
 def test_odd_rows(spark, make_docs):
-    docs = make_docs((1, None, "a"), (2, "", "a"), (3, "one two three", None), (3, "one two three", None), (None, "x y", "a"), (4, "z " * 3000, "b")).withColumnRenamed("n_chars", "size").withColumnRenamed("lang", "row")
+    docs = make_docs((1, None, "a"), (2, "", "a"), (3, "one two three", None), (3, "one two three", None), (None, "x y", "a"), (4, "z " * 60_000, "b")).withColumnRenamed("n_chars", "size").withColumnRenamed("lang", "row")
     rows = mixing.taken_words(docs, block=8).collect()
-    assert len(rows) == 6 and sorted(r["size"] for r in rows) == [0, 0, 2, 3, 3, 3000]
+    assert len(rows) == 6 and sorted(r["size"] for r in rows) == [0, 0, 2, 3, 3, 60_000]
     assert all(r["taken"] <= 3 * r["size"] for r in rows) and {r["source"] for r in rows} == {"a", "b", None}
     assert mixing.taken_words(docs.limit(0)).count() == 0
     out = mixing.mixed_documents(docs, block=8)
