@@ -1,4 +1,7 @@
-"""Collations as sort keys and comparisons: strength, and digits by value."""
+"""Collations as sort keys and comparisons: strength, and digits by value.
+
+Other options (locale, caseFirst) are taken and change nothing: the order is that of code points.
+"""
 
 from __future__ import annotations
 

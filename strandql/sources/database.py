@@ -7,6 +7,8 @@ to change, and readers of the older version go on undisturbed. Every change is w
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import unquote
@@ -48,6 +50,8 @@ class Database:
         self.schemas: dict[str, Schema] = {}
         self.paths: dict[str, list[str]] = {}
         self.indexes: dict[str, dict[str, dict[str, Any]]] = {}
+        #: What a running transaction will write to the logs.
+        self.pending: list[tuple[DataFrame, str, str, str]] | None = None
 
     def register(self, name: str, df: DataFrame) -> Collection:
         self.frames[name] = df
@@ -84,6 +88,35 @@ class Database:
         for held in (self.frames, self.schemas, self.paths, self.indexes):
             held.pop(name, None)
 
+    @contextmanager
+    def transaction(self) -> Iterator[Database]:
+        """All changes within, of any collections, or none: after an error every name points at its older version and nothing is logged.
+
+        Versions are files that are never changed, so readers see one version throughout. Two transactions of one Database
+        cannot run at a time.
+        """
+        if self.pending is not None:
+            raise PipelineError("a transaction is running")
+        held = [dict(self.frames), {k: list(v) for k, v in self.paths.items()}, dict(self.schemas), {k: dict(v) for k, v in self.indexes.items()}]
+        self.pending = []
+        try:
+            yield self
+        except BaseException:
+            self.frames, self.paths, self.schemas, self.indexes = held
+            self.pending = None
+            raise
+        entries, self.pending = self.pending, None
+        for docs, path, ns, op in entries:
+            self.write_log(docs, path, ns, op)
+
+    def write_log(self, docs: DataFrame, path: str, ns: str, op: str) -> None:
+        from strandql.streaming import oplog
+
+        if self.pending is not None:
+            self.pending.append((docs, path, ns, op))
+        elif self.log:
+            oplog.append(docs, path, ns, op)
+
     def check(self, name: str, df: DataFrame) -> None:
         """Raise if a document fails the collection's validator."""
         if name in self.schemas:
@@ -436,10 +469,7 @@ class Collection:
 
     def _log(self, op: str, docs: DataFrame) -> None:
         """Write docs to the change log, with the fields that an update altered where they have that column."""
-        from strandql.streaming import oplog
-
-        if self.database.log:
-            oplog.append(docs, self.log_path, self.name, op)
+        self.database.write_log(docs, self.log_path, self.name, op)
 
     def insert_many(self, docs: list[dict[str, Any]] | DataFrame) -> Result:
         new = docs if isinstance(docs, DataFrame) else self.database.spark.createDataFrame(docs, self.frame().schema)

@@ -248,6 +248,25 @@ def test_log_retention(spark, tmp_path):
     assert oplog.truncate_before(spark, path, last) == 1 and oplog.read_from(spark, path).count() == 2
 
 
+def test_transactions_are_all_or_nothing(spark):
+    db, c = boats(spark)
+    crew = db.create_collection("crew", "_id int, boat int")
+    with db.transaction():
+        crew.insert_one({"_id": 1, "boat": 3})
+        c.update_one({"_id": 3}, {"$set": {"name": "manned"}})
+    assert c.find_one({"_id": 3})["name"] == "manned" and crew.count_documents() == 1 and crew.aggregate([{"$changeStream": {}}]).count() == 1
+    crew.create_index("_id", unique=True)
+    with pytest.raises(PipelineError), db.transaction():
+        c.delete_many({"deck": 1})
+        c.insert_one({"_id": 300, "name": "x", "deck": 1})
+        crew.insert_one({"_id": 1, "boat": 4})
+    assert c.count_documents() == 40 and crew.count_documents() == 1 and c.find_one({"_id": 300}) is None
+    assert c.aggregate([{"$changeStream": {}}]).count() == 1 and crew.aggregate([{"$changeStream": {}}]).count() == 1
+    with pytest.raises(PipelineError), db.transaction(), db.transaction():
+        pass
+    assert db.pending is None
+
+
 def test_cursor_places_and_slices(spark):
     _, c = boats(spark)
     cursor = c.find({"deck": {"$lt": 5}}).sort("_id", -1)
