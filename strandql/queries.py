@@ -435,7 +435,7 @@ def _(spark, sf_dir):
     return out.select("p_partkey", F.col("items")[0]["q"].alias("a"), F.col("items")[1]["q"].alias("b"))
 
 
-@custom("update_pipeline", f"SELECT p_partkey, len({_WORDS})::INT AS n, p_size * 2 AS twice FROM part")
+@custom("update_pipeline", f"SELECT p_partkey, len({_WORDS})::INT AS n, (p_size * 2)::BIGINT AS twice FROM part")
 def _(spark, sf_dir):
     change = [{"$set": {"n": {"$size": "$w"}, "twice": {"$multiply": ["$p_size", 2]}}}, {"$unset": ["w", "p_size"]}, {"$project": {"p_partkey": 1, "n": 1, "twice": 1}}]
     return Update(change).apply(_parts(spark, sf_dir))
