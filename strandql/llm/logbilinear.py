@@ -43,7 +43,7 @@ END = b"\n"
 MODEL_WORDS = 1 << 17
 KEY_BYTES = 64
 OUTPUTS, CLASSES, DIM = 2048, 64, 32
-NOISE, INNER_NOISE, MINIBATCH, RATE, FLOOR, INNER_FLOOR = 48, 32, 8192, 0.05, 1e-8, 1e-9
+NOISE, INNER_NOISE, MINIBATCH, RATE, FLOOR, INNER_FLOOR = 64, 48, 8192, 0.05, 1e-8, 1e-9
 #: Texts, and bytes of each at most, from which the driver makes the common starting point of all partitions.
 START_TEXTS, START_BYTES = 400, 1 << 16
 #: Distinct words that a worker counts before it passes them on.
