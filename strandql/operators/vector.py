@@ -38,6 +38,10 @@ def top(df: DataFrame, v: Column, query: list[float], metric: str, limit: int, f
     return df.filter(F.size(v) == len(query)).withColumn(field, score(own, query, metric)).orderBy(F.col(field).desc()).limit(limit)
 
 
+#: Scores that a task holds at a time.
+PAIRS = 1 << 21
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit: int, metric: str = "cosine", block: int = 8192) -> DataFrame:
     """query, the key and the score of the best rows for each of many queries (columns key and vector), exact.
 
@@ -68,13 +72,14 @@ def neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit
                 sizes = np.diff(vectors.offsets.to_numpy())
                 flat, begin = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
                 for n, (_, q) in shared.value.items():
-                    at = np.flatnonzero(sizes == n)
-                    x = flat[begin[at][:, None] + np.arange(n)]
-                    s = similarity(q, x, metric)
-                    old = best.get(n, (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)))
-                    s, k = np.concatenate([old[0], s], axis=1), np.concatenate([old[1], np.broadcast_to(keys[at], (len(q), len(at)))], axis=1)
-                    order = np.lexsort((k, -s))[:, :limit]
-                    best[n] = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
+                    all_at = np.flatnonzero(sizes == n)
+                    room = max(1, PAIRS // len(q))
+                    for at in (all_at[lo : lo + room] for lo in range(0, len(all_at), room)):
+                        s = similarity(q, flat[begin[at][:, None] + np.arange(n)], metric)
+                        old = best.get(n, (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)))
+                        s, k = np.concatenate([old[0], s], axis=1), np.concatenate([old[1], np.broadcast_to(keys[at], (len(q), len(at)))], axis=1)
+                        order = np.lexsort((k, -s))[:, :limit]
+                        best[n] = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
             for n, (s, k) in best.items():
                 ids = np.repeat(shared.value[n][0], s.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k.ravel(), pa.int64()), pa.array(s.ravel())], ["query", "key", "score"])

@@ -60,8 +60,11 @@ class Database:
 
     def read_parquet(self, name: str, path: str) -> Collection:
         """A collection of files that are read and never written to; changes go to files of its own."""
-        made = self.register(name, self.spark.read.parquet(path))
-        self.paths[name] = [path]
+        df = self.spark.read.parquet(path)
+        made = self.register(name, df)
+        # Files below folders that name columns do not hold these: such a table is stored anew by its first change.
+        if not any(f"/{c}=" in f for f in df.inputFiles()[:1] for c in df.columns):
+            self.paths[name] = [path]
         return made
 
     def read_json(self, name: str, path: str, schema: Any = None) -> Collection:

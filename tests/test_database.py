@@ -195,6 +195,14 @@ def test_inserts_leave_the_files_and_changes_touch_few(spark):
     assert c.delete_many({"_id": {"$gte": 100}}).deleted == 2 and c.count_documents() == 40
 
 
+def test_tables_in_folders_by_column(spark, tmp_path):
+    path = str(tmp_path / "parted")
+    spark.range(12).selectExpr("id as _id", "id % 3 as kind", "'x' as v").write.partitionBy("kind").parquet(path)
+    c = Database(spark).read_parquet("parted", path)
+    assert c.update_many({"_id": 4}, {"$set": {"v": "y"}}).modified == 1 and c.insert_one({"_id": 50, "kind": 7, "v": "z"}).inserted == 1
+    assert sorted((r["kind"], r["v"]) for r in c.find({"_id": {"$in": [4, 5, 50]}})) == [(1, "y"), (2, "x"), (7, "z")]
+
+
 def test_new_fields_and_wider_types(spark):
     _, c = boats(spark)
     assert c.update_many({"_id": {"$lt": 3}}, {"$set": {"flag": "red"}}).matched == 3
