@@ -6,7 +6,7 @@ texts are counted over all unlabelled texts by a grouped aggregation, and those
 from their share of unlabelled ones by LEAST_Z standard errors enter the model. Linear classifiers over their presence
 minimise prior * R+(g, 1) + max(0, R_u(g, 0) - prior * R+(g, 0)), stepping back where the bracket is negative. The
 prior is the toxic share of all labelled training rows. All unlabelled texts, as the features they hold, are dealt into
-shards of about SHARD_TEXTS; numpy trains a classifier on each with all positives, and their weights are averaged by
+shards of about SHARD_TEXTS; numpy trains CLASSIFIERS classifiers on each with all positives, and their weights are averaged by
 texts. Only the positives are bounded: POSITIVES labelled rows. Every whole text is scored in one pass without a
 shuffle. A word is known by a 64-bit hash, not by a bucket, so that a clean document's rare words do not fall on a
 toxic word's weight.
@@ -33,7 +33,7 @@ POSITIVES, SHARD_TEXTS = 3000, 8192
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Features of the model: in so many positive texts at least (fewer where there are few), so many standard errors apart.
 LEAST_TEXTS, LEAST_Z = 4, 5.0
-STEPS, BATCHES = 60, 6
+CLASSIFIERS, STEPS, BATCHES = 3, 60, 6
 #: Bytes handled at once; each makes several features of some numbers.
 CHUNK = 1 << 18
 #: Pairs of a text and a feature that are marked one by one rather than sorted.
@@ -216,8 +216,8 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> tuple[np
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.frombuffer(x, "<i4") for batch in batches for x in batch.column(0).to_pylist()]
         if own:
-            w, bias = fit(held.value, own, len(known.value), prior, 100)
-            flat = np.append(w, bias) * len(own)
+            made = [np.append(*fit(held.value, own, len(known.value), prior, 100 + k)) for k in range(CLASSIFIERS)]
+            flat = np.mean(made, axis=0) * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array([len(own)] * len(flat), pa.int64())], ["place", "total", "n"])
 
     dealt = unlabelled.select("text").mapInArrow(place, "places binary").repartition(max(1, round(n_u / SHARD_TEXTS)))
