@@ -182,9 +182,22 @@ class Database:
         into = spec["into"] if isinstance(spec["into"], str) else spec["into"]["coll"]
         on = [spec.get("on", "_id")] if isinstance(spec.get("on", "_id"), str) else list(spec["on"])
         matched, unmatched = spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")
+        log_path = self[into].log_path
         if into not in self.frames:
-            return self.store(into, df)
-        return self.store(into, merge_frames(self.frame(into), df, on, matched, unmatched, self.context()))
+            made = self.store(into, df)
+            self.write_log(made, log_path, into, "insert")
+            return made
+        old = self.frame(into)
+        made = self.store(into, merge_frames(old, df, on, matched, unmatched, self.context()))
+        if self.log or self.pending is not None:
+            # Of the new version, what stands under a key of the merged documents: changed if it was there before, else inserted.
+            keyed = lambda rows, other, how: rows.join(other.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(on)]).distinct(), _same_keys(on), how)
+            touched = keyed(made, df, "left_semi")
+            if matched != "keepExisting":
+                self.write_log(keyed(touched, old, "left_semi"), log_path, into, "update")
+            if unmatched == "insert":
+                self.write_log(keyed(touched, old, "left_anti"), log_path, into, "insert")
+        return made
 
     def context(self) -> Context:
         return Context(self.spark, self.frame, {}, self)
@@ -201,6 +214,13 @@ class Database:
         return plans.aggregate(self.frame(name), pipeline, self.frame, self)
 
 
+def _same_keys(on: list[str]):
+    test = F.lit(True)
+    for i, k in enumerate(on):
+        test = test & F.col(f"`{k}`").eqNullSafe(F.col(f"__{i}"))
+    return test
+
+
 def merge_frames(target: DataFrame, new: DataFrame, on: list[str], matched: Any, unmatched: str, ctx: Context) -> DataFrame:
     """Target with the new rows merged in by one full outer join on the keys."""
     left, right = frame(target), frame(new)

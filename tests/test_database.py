@@ -245,6 +245,19 @@ def test_every_change_is_logged(spark):
     assert quiet.aggregate([{"$changeStream": {}}]).count() == 0
 
 
+def test_merges_are_logged(spark):
+    db = Database(spark)
+    db.register("src", spark.createDataFrame([("1", "new"), ("2", "ins"), (None, "none")], "_id string, v string"))
+    db.register("target", spark.createDataFrame([("1", "old"), ("5", "kept")], "_id string, v string"))
+    db["src"].aggregate([{"$merge": {"into": "target"}}])
+    events = {(r["operationType"], r["documentKey"]["_id"]) for r in db["target"].aggregate([{"$changeStream": {}}]).collect()}
+    assert events == {("update", "1"), ("insert", "2"), ("insert", None)}
+    db["src"].aggregate([{"$merge": {"into": "target", "whenMatched": "keepExisting", "whenNotMatched": "discard"}}])
+    assert db["target"].aggregate([{"$changeStream": {}}]).count() == 3
+    db["src"].aggregate([{"$merge": "fresh"}])
+    assert db["fresh"].aggregate([{"$changeStream": {}}]).count() == 3
+
+
 def test_log_retention(spark, tmp_path):
     path = str(tmp_path / "log")
     for k in range(5):
