@@ -32,7 +32,7 @@ from strandql.llm import common, simhash
 
 BANDS, ROWS = 24, 4
 #: Texts of a block; shingles that a comparison counts at a time.
-BLOCK_TEXTS, COLUMNS = 512, 4096
+BLOCK_TEXTS, COLUMNS = 256, 2048
 #: Hashes of a text that are permuted at a time.
 CHUNK = 1 << 14
 _RNG = np.random.default_rng(20)
@@ -149,16 +149,17 @@ def alike(sets: list[np.ndarray], rows: list[int], columns: list[int], least: fl
         common_one = times > 1
         number = np.cumsum(common_one) - 1
         kept = common_one[which]
-        which, owner = number[which[kept]], owner[kept]
+        which, owner = number[which[kept]].astype(np.int32), owner[kept].astype(np.int32)
         order = np.argsort(which, kind="stable")
         which, owner = which[order], owner[order]
+        del order, kept
         shared = np.zeros((len(rows), len(columns)), np.float32)  # exact up to 2^24 shingles, and by COLUMNS a step
         total = np.zeros((len(rows), len(columns)), np.int64)
         for lo in range(0, int(common_one.sum()), COLUMNS):
             at, to = np.searchsorted(which, (lo, lo + COLUMNS))
             holds = np.zeros((len(sets), COLUMNS), np.float32)
             holds[owner[at:to], which[at:to] - lo] = 1
-            np.matmul(holds[rows], holds[columns].T, out=shared)
+            np.matmul(holds[rows], holds.T if len(columns) == len(sets) else holds[columns].T, out=shared)
             total += shared.astype(np.int64)
         shared = total
     either = sizes[rows][:, None] + sizes[columns][None, :] - shared
