@@ -400,3 +400,34 @@ def test_neighbours_of_many_vectors(spark, metric):
         want = sorted(range(300), key=lambda i: (-s[i], i))[:4]
         assert [k for k, _ in near] == want and [x for _, x in near] == pytest.approx(s[want])
     assert vector.neighbours(rows.limit(0), rows.where("k = 1"), "k", "v", 4).count() == 0 and vector.neighbours(rows, rows.limit(0), "k", "v", 4).count() == 0
+
+
+def test_collections_by_name_and_cursor_options(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(6).selectExpr("id as _id", "id % 2 as side").write.json(path)
+    db = Database(spark)
+    c = db.read_json("rows", path, "_id long, side long")
+    assert db.list_collections() == ["rows"] and c.estimated_document_count() == 6
+    cursor = c.find({"side": 1}).hint("x").batch_size(5).comment("why").max_time_ms(10).sort([("_id", -1)])
+    assert [r["_id"] for r in cursor] == [5, 3, 1] and cursor.ignored == {"hint": "x", "batch_size": 5, "comment": "why", "max_time_ms": 10}
+    found = c.find_with_options({}, {"sort": {"side": 1, "_id": -1}, "skip": 1, "limit": 3, "projection": {"_id": 1}}).collect()
+    assert [r["_id"] for r in found] == [2, 0, 5]
+    names = db.register("names", spark.createDataFrame([("b",), ("A",), ("a",), ("C",)], "s string")).find({})
+    assert [r["s"].lower() for r in names.sort("s").collation({"locale": "en", "strength": 2, "caseFirst": "upper"})] == ["a", "a", "b", "c"]
+    db.drop_collection("rows")
+    with pytest.raises(PipelineError):
+        db["rows"].find({}).to_list()
+
+
+def test_sides_that_always_win_and_concurrent_clocks(spark):
+    schema = "_id int, v string, ts double, clock map<string,int>"
+    a = spark.createDataFrame([(1, "l", 1.0, {"x": 1}), (2, "l", 9.0, {"x": 2, "y": 1})], schema)
+    b = spark.createDataFrame([(1, "r", 2.0, {"x": 2}), (2, "r", 1.0, {"x": 1, "y": 3}), (3, "r", 1.0, {"y": 1})], schema)
+    get = lambda s: {r["_id"]: r["v"] for r in conflicts.resolve(a, b, s).collect()}
+    assert get("local_wins") == {1: "l", 2: "l", 3: "r"} and get("remote_wins") == {1: "r", 2: "r", 3: "r"} and get("lww") == {1: "r", 2: "l", 3: "r"}
+    both = a.join(b.select("_id", F.col("clock").alias("other")), "_id")
+    assert {r["_id"]: r["c"] for r in both.select("_id", conflicts.concurrent(F.col("clock"), F.col("other")).alias("c")).collect()} == {1: False, 2: True}
+    merged = conflicts.resolve(a, b, clock="clock").filter("_id = 2").first()["clock"]
+    assert merged == {"x": 2, "y": 3}
+    with pytest.raises(ValueError):
+        conflicts.resolve(a, b, "other")
